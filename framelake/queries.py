@@ -1,0 +1,3 @@
+"""Registered queries."""
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
