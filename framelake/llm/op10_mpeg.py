@@ -122,7 +122,7 @@ def read_stream(data: bytes, seek_every: int = 64) -> dict:
         end -= 128
     seen: dict[bytes, tuple | None] = {}
     crcs: dict[bytes, bool] = {}
-    parts, first, last_end = [], True, -1
+    parts, first, last_end = [], True, at
     while at + 4 <= end:
         key = data[at : at + 4]
         if key not in seen:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .op01_license import op1_licences
 from .op02_packing import op2_packing
+from .op05_wavelet import op5_token_shards
 from .op10_mpeg import op10_mpeg_audio
 
-QUERIES = {f.__name__: f for f in (op2_packing, op10_mpeg_audio)}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_packing, op5_token_shards, op10_mpeg_audio)}
 ORACLE_SQL: dict[str, str] = {}
