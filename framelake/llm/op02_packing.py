@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, named, text_slices
-from .tokens import WORD_LEVEL, ChunkEncoder
+from .tokens import WORD_LEVEL, encoder
 
 LENGTH = 2048
 GROUP = 4096
 END_ID = 1
-_encoders: dict[str, ChunkEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -70,12 +69,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     """Tokenises each document and cuts it into whole sequences and one rest: doc_id, start, length, ids_crc32, doc_tokens[, ids]."""
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = ChunkEncoder(path, WORD_LEVEL)
-        encoder = _encoders[path]
+        coder = encoder(path, WORD_LEVEL)
         for batch in batches:
             for part in text_slices(batch, 1):
-                ids, offsets = encoder.encode(part.column(1).to_pylist(), end_id)
+                ids, offsets = coder.encode(part.column(1), end_id)
                 ids = ids.astype("<u4")
                 count = np.diff(offsets)
                 n = -(-count // length)

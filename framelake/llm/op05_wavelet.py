@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, named, scratch, text_slices
 from .op02_packing import vocabulary
-from .tokens import BYTE_LEVEL, ChunkEncoder
+from .tokens import BYTE_LEVEL, encoder
 
 END_ID = 2
 MAGIC = b"WVLT"
 #: Bits between two entries of the rank directory.
 STRIDE = 512
-_encoders: dict[str, ChunkEncoder] = {}
 _POPCOUNT = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 
@@ -170,13 +169,12 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     docs = named(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = ChunkEncoder(path, BYTE_LEVEL)
+        coder = encoder(path, BYTE_LEVEL)
         fs, name = pyarrow.fs.FileSystem.from_uri(folder)
         ids, doc_ids, ends, total = [], [], [np.zeros(0, np.int64)], 0
         for batch in batches:
             for part in text_slices(batch, 1):
-                got, offsets = _encoders[path].encode(part.column(1).to_pylist(), end_id)
+                got, offsets = coder.encode(part.column(1), end_id)
                 ids.append(got.astype(np.uint16) if not len(got) or got.max() < 65536 else got)
                 doc_ids += part.column(0).to_pylist()
                 ends.append(total + offsets[1:])
