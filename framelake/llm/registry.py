@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .op01_license import op1_licences
 from .op02_packing import op2_packing
+from .op03_chat import OP3_SQL, op3_chat_rotation
+from .op04_langid import op4_language_id
 from .op05_wavelet import op5_token_shards
+from .op09_decontaminate import op9_decontamination
 from .op10_mpeg import op10_mpeg_audio
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_packing, op5_token_shards, op10_mpeg_audio)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_packing, op3_chat_rotation, op4_language_id, op5_token_shards, op9_decontamination, op10_mpeg_audio)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_rotation": OP3_SQL}
