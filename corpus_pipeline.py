@@ -1,12 +1,64 @@
-"""The training-corpus pipeline."""
-from framelake.llm import op02_packing
+"""The training-corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, packing.
 
-STAGES = [("packing", lambda spark, docs, sf_dir: op02_packing.pack(docs))]
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's result to
+the shared folder and reads it again, so that a lost executor costs at most one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from framelake.llm import common, op02_packing, op04_langid, op06_secrets, op08_minhash, op09_decontaminate
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; those without a text or a letter go."""
+    common.tune(spark)
+    return op04_langid.with_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least doc_id."""
+    common.tune(spark)
+    kept = op08_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionAll(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    common.tune(spark)
+    return op09_decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    common.tune(spark)
+    return op06_secrets.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    common.tune(spark)
+    return op02_packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = common.scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

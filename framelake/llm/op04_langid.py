@@ -221,6 +221,24 @@ def training_sample(docs: DataFrame, bound: int = TRAIN_DOCS) -> list[tuple[str,
     return [(r.lang, r.text) for r in rows.collect()]
 
 
+def with_language(docs: DataFrame, path: str | None = None, bound: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language; those that would be und go."""
+    samples = training_sample(docs, bound)
+    if not samples:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(samples, path or vocabulary("piece_bpe_32k.model")))
+    places = [docs.columns.index("doc_id"), docs.columns.index("text")]
+    score = _scorer(shared)
+
+    def run(batches):
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(k) for k in places], ["doc_id", "text"])
+            found = [name for part in score([pair]) for name in part.column(2).to_pylist()]
+            yield batch.filter(pa.array([name != UND for name in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each whole text.
 
@@ -230,7 +248,11 @@ def predict(docs: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_c
     row; other columns are not read; an empty table gives no rows. Ties go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    return named(docs, id_col, text_col).mapInArrow(_scorer(shared), schema)
+
 
+def _scorer(shared):
     def run(batches):
         model = shared.value
         names = [*model.languages, UND]
@@ -267,7 +289,7 @@ def predict(docs: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_c
                 held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array([names[b] for b in best]), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return named(docs, id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return run
 
 
 def identify(docs: DataFrame, path: str | None = None, bound: int = TRAIN_DOCS) -> DataFrame:

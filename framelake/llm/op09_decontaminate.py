@@ -119,16 +119,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     null doc_ids are kept; repeated rows each give their rows; other columns are not read; empty tables give no rows.
     """
     docs = named(docs, id_col, text_col)
+    out = None
+    for index in indexes(docs.sparkSession, benchmark, block_words):
+        part = docs.mapInArrow(_scan(index), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns as they are, that overlap no benchmark item; each block of it is a filter."""
+    place = docs.columns.index("text")
+    for index in indexes(docs.sparkSession, benchmark, block_words):
+        docs = docs.mapInArrow(_clean(index, place), docs.schema)
+    return docs
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame, block_words: int):
+    """A broadcast index for each block of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
     blocks = max(1, -(-total // block_words))
-    out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().collect()
-        index = docs.sparkSession.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
-        part = docs.mapInArrow(_scan(index), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long")
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield spark.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _clean(index, place):
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, place):
+                keep = np.ones(part.num_rows, bool)
+                keep[[row for row, *_ in index.value.overlaps(*hashed_words(part.column(place)))]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
 
 
 def _scan(index):
