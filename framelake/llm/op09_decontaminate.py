@@ -6,10 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, documents, mix64, named, span_hashes, text_bytes, text_slices, word_spans
+from .common import ALNUM, documents, mix64, named, span_hashes, text_bytes, text_slices, word_spans
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("1101100110101", "1011010011011", "1110010101011")
@@ -23,9 +24,8 @@ BLOCK_WORDS = 2_000_000
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (lower-cased letters, digits and non-ASCII) of all texts, and each text's first word."""
-    data, offsets = text_bytes(texts)
-    data = LOWER[data]
+    """Hashes of the words (letters, digits and non-ASCII, in lower case) of all texts, and each text's first word."""
+    data, offsets = text_bytes(pc.utf8_lower(texts))
     starts, ends, first = word_spans(data, offsets, ALNUM)
     return span_hashes(data, starts, ends), first
 
