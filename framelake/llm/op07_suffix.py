@@ -24,7 +24,7 @@ from .common import cut, documents, span_hashes, text_bytes, text_slices
 LENGTH = 200
 GRAM = 64
 #: Bytes of contexts whose suffix array is built at once; a gram's contexts stay together.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Ways to deal out the rows of grams that a task has already seen twice.
 SALTS = 64
 
@@ -119,6 +119,13 @@ def refine(order: np.ndarray, words: np.ndarray, depth: int) -> None:
         group = np.cumsum(new[where])
         some = order[where]
         value = words[np.minimum(some + at, len(words) - 1)]
+        differ = (value[1:] != value[:-1]) & (group[1:] == group[:-1])
+        if not differ.any():
+            continue
+        parted = np.zeros(group[-1] + 1, bool)  # groups that agree in these bytes stay as they are
+        parted[group[1:][differ]] = True
+        inside = parted[group]
+        where, group, some, value = where[inside], group[inside], some[inside], value[inside]
         move = np.lexsort((value, group))
         some, value = some[move], value[move]
         order[where] = some
@@ -284,14 +291,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "text")
     rows = text.mapInArrow(_anchor_rows, "key long, doc_id long, gram long, start int, size int, known boolean, salt int")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("gram", "salt"))).where("known or n > 1")
-    found = cut(rows.groupBy("key", "doc_id").agg(F.array_distinct(F.collect_list(F.struct("gram", "start", "size"))).alias("anchors")))
-    places = text.join(found.hint("merge"), ["key", "doc_id"]).select("key", "doc_id", "text", "anchors")
+    found = cut(rows.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "start", "size")).alias("anchors")))
+    places = text.join(found.hint("shuffle_hash"), ["key", "doc_id"]).select("key", "doc_id", "text", "anchors")
     contexts = places.mapInArrow(_context_rows(True), "gram long, context long, n long, bytes binary")
     runs = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats, "gram long, context long, first long, windows long")
     where = places.mapInArrow(_context_rows(False), "gram long, context long, key long, doc_id long, start long")
     hits = where.join(runs, ["gram", "context"]).select("key", "doc_id", F.struct((F.col("start") + F.col("first")).alias("a"), F.col("windows").alias("n")).alias("span"))
     spans = hits.groupBy("key", "doc_id").agg(F.collect_set("span").alias("spans"))
-    out = text.join(spans.hint("merge"), ["key", "doc_id"], "left").select("key", "doc_id", "text", "spans")
+    out = text.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left").select("key", "doc_id", "text", "spans")
     out = out.mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {-(1 << 62)})"))
 
