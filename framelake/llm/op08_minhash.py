@@ -5,13 +5,15 @@
    its number and of the attempt names. 32 bands of 4 minima make the buckets: a pair at similarity 0.75 meets in none
    of them with a probability of 5e-6.
 3. Each member of a bucket is a candidate for the bucket's least member only, and is confirmed on full sets.
-4. A star can miss a link between two members that are both unlike the hub. So whatever the confirmed links leave in one
-   bucket but in different components is compared by signatures, and confirmed where these agree well enough.
+4. A star can miss a link between two members that are both unlike the hub. So what the confirmed links leave in one
+   bucket but in different components is compared by signatures: each component offers its most similar pair there, in
+   the next round its 4, 16 ... most similar ones, until all pairs are confirmed, refused or within one component.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -127,33 +129,53 @@ def confirm(pairs: DataFrame, text: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _strays(batches):
-    """From bucket members sorted by bucket: pairs in different components whose signatures and sizes allow a link."""
-    state = {"bucket": None, "rows": []}
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if row[0] != state["bucket"]:
-                yield from _bucket_pairs(state["rows"])
-                state = {"bucket": row[0], "rows": []}
-            state["rows"].append(row)
-    yield from _bucket_pairs(state["rows"])
+def _strays(k: int):
+    """From bucket members sorted by bucket: pairs in different components whose signatures and sizes allow a link.
+
+    In each bucket every component but the largest offers its k most similar ones; more tells that it has others.
+    """
+
+    def run(batches):
+        bucket, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if row[0] != bucket:
+                    yield from _bucket_pairs(rows, k)
+                    bucket, rows = row[0], []
+                rows.append(row)
+        yield from _bucket_pairs(rows, k)
 
+    return run
 
-def _bucket_pairs(rows):
+
+def _bucket_pairs(rows: list[tuple], k: int):
     if len(rows) < 2:
         return
     rows.sort(key=lambda r: r[3])
-    ids, part, size = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    ids, part, size = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
     signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, BINS)
-    for at in range(len(rows)):
+    parts, counts = np.unique(part, return_counts=True)
+    most = parts[counts.argmax()]
+    offers: dict[int, list[tuple[int, int, int]]] = {}
+    more: set[int] = set()
+    for at in np.flatnonzero(part != most).tolist():
         # the rows are in order of size, so a partner is near
+        first = int(np.searchsorted(size, -(-size[at] * SHARE[0] // SHARE[1]), side="left"))
         end = int(np.searchsorted(size, size[at] * SHARE[1] // SHARE[0], side="right"))
-        for first in range(at + 1, end, BLOCK):
-            last = min(end, first + BLOCK)
-            hit = (part[first:last] != part[at]) & ((signature[first:last] == signature[at]).sum(1) >= AGREE)
-            other = ids[first:last][hit]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, ids[at])), pa.array(np.minimum(other, ids[at]))], ["a", "b"])
+        own = offers.setdefault(int(part[at]), [])
+        for low in range(first, end, BLOCK):
+            rest = slice(low, min(end, low + BLOCK))
+            agree = np.where(part[rest] != part[at], (signature[rest] == signature[at]).sum(1), 0)
+            for j in np.flatnonzero(agree >= AGREE).tolist():
+                offer = (int(agree[j]), int(ids[at]), int(ids[low + j]))
+                if len(own) < k:
+                    heapq.heappush(own, offer)
+                else:
+                    more.add(int(part[at]))
+                    heapq.heappushpop(own, offer)
+    found = [(max(a, b), min(a, b), p in more) for p, own in offers.items() for _, a, b in own]
+    if found:
+        yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "more"), f)) for f in found])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,33 +188,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read; an empty table gives no rows.
     """
     docs = named(docs, id_col, text_col)
-    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n long, s1 long, s2 long, signature binary"))
-    classes = profiles.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "signature")).alias("r"))
+    nameless = docs.where("doc_id is null").mapInArrow(_profiles, PROFILE)
+    nameless = nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = docs.select(F.col("doc_id").alias("real"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+        rows = rows.drop("text").join(_linked(rows.select("doc_id", "text")).distinct(), "doc_id")
+        least = rows.groupBy(F.col("component_id").alias("c")).agg(F.min("real").alias("component"))
+        rows = rows.join(least, F.col("component_id") == F.col("c"))
+        out = rows.select(F.col("real").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    else:
+        out = _linked(docs)
+    out = out.unionAll(nameless)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+PROFILE = "doc_id long, n long, s1 long, s2 long, signature binary"
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for documents with ids, where rows of one id are equal."""
+    profiles = cut(docs.mapInArrow(_profiles, PROFILE))
+    classes = profiles.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "signature")).alias("r"))
     heads = cut(classes.select("s1", "s2", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.signature").alias("signature")))
-    members = heads.select("id", "signature").mapInArrow(_bands, "bucket long, id long").distinct()
+    members = heads.select("id", "signature").mapInArrow(_bands, "bucket long, id long")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "hub")
     members = cut(members.join(hubs, "bucket"))
-    # a head's text: a doc_id may have rows with other texts, so the class counts
-    text = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeated_ids(docs) else docs
     stars = members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    text = cut(docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").distinct())
     links = cut(confirm(stars, text))
-    found = components(links)
-    marked = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    open_ = marked.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    rest = marked.join(open_, "bucket").join(heads.select("id", "n", "signature"), "id")
-    rest = rest.select("bucket", "id", "part", "n", "signature").repartition("bucket").sortWithinPartitions("bucket")
-    strays = rest.mapInArrow(_strays, "a long, b long").distinct()
-    links = links.unionAll(cut(confirm(strays, text)))
-    found = components(links)
+    found, k = cut(components(links)), 1
+    while True:
+        marked = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+        open_ = marked.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+        rest = marked.join(open_, "bucket").join(heads.select("id", "n", "signature"), "id")
+        rest = rest.select("bucket", "id", "part", "n", "signature").repartition("bucket").sortWithinPartitions("bucket")
+        offers = cut(rest.mapInArrow(_strays(k), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+        n, more = offers.agg(F.count(F.lit(1)), F.max("more")).first()
+        if not n:
+            break
+        links = links.unionAll(cut(confirm(offers.select("a", "b"), text)))
+        found = cut(components(links))
+        if not more:
+            break
+        k *= 4
     heads = heads.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     out = profiles.join(heads, ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _repeated_ids(docs: DataFrame) -> bool:
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

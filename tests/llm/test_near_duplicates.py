@@ -71,7 +71,7 @@ def test_strays_find_links_the_star_misses():
     b[:30] += 500
     hub = np.full(128, 7, np.uint16)
     rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 1]), pa.array([0, 5, 9]), pa.array([0, 5, 9]), pa.array([100, 100, 110]), pa.array([x.tobytes() for x in (hub, a, b)])], list("abcde"))
-    assert [p.to_pylist() for p in op._strays([rows])] == [[{"a": 9, "b": 5}]]
+    assert [p.to_pylist() for p in op._strays(1)([rows])] == [[{"a": 9, "b": 5, "more": False}] * 2]
 
 
 def test_components(spark):
