@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import color  # noqa: E402, F401
+from . import color, geometry  # noqa: E402, F401
