@@ -6,14 +6,13 @@
    of them with a probability of 5e-6.
 3. Each member of a bucket is a candidate for the bucket's least member only, and is confirmed on full sets.
 4. A star can miss a link between two members that are both unlike the hub. So what the confirmed links leave in one
-   bucket but in different components is compared by signatures: each component offers its most similar pair there, in
-   the next round its 4, 16 ... most similar ones, until all pairs are confirmed, refused or within one component.
+   bucket but in different components meets there once more, with texts: sizes and signatures rule most pairs out, full
+   sets confirm the others until one link joins two components, and no pair is written down but such links.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -129,53 +128,56 @@ def confirm(pairs: DataFrame, text: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _strays(k: int):
-    """From bucket members sorted by bucket: pairs in different components whose signatures and sizes allow a link.
+def _strays(batches):
+    """From bucket members sorted by bucket, with texts: links that join different components, confirmed on full sets.
 
-    In each bucket every component but the largest offers its k most similar ones; more tells that it has others.
+    A pair is looked at in the first band only that both share, and only until something joins its components.
     """
-
-    def run(batches):
-        bucket, rows = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if row[0] != bucket:
-                    yield from _bucket_pairs(rows, k)
-                    bucket, rows = row[0], []
-                rows.append(row)
-        yield from _bucket_pairs(rows, k)
-
-    return run
+    bucket, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if row[0] != bucket:
+                yield from _bucket_links(rows)
+                bucket, rows = row[0], []
+            rows.append(row)
+    yield from _bucket_links(rows)
 
 
-def _bucket_pairs(rows: list[tuple], k: int):
+def _bucket_links(rows: list[tuple]):
     if len(rows) < 2:
         return
     rows.sort(key=lambda r: r[3])
     ids, part, size = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
     signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, BINS)
+    band = int((band_keys(signature[:1])[0] == rows[0][0]).argmax())
+    sets = shingle_sets(pa.array([r[5] for r in rows], pa.string()))
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    places = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
+    mark = np.zeros(int(number.max()) + 1, np.int64)
     parts, counts = np.unique(part, return_counts=True)
     most = parts[counts.argmax()]
-    offers: dict[int, list[tuple[int, int, int]]] = {}
-    more: set[int] = set()
+    found = []
     for at in np.flatnonzero(part != most).tolist():
         # the rows are in order of size, so a partner is near
         first = int(np.searchsorted(size, -(-size[at] * SHARE[0] // SHARE[1]), side="left"))
         end = int(np.searchsorted(size, size[at] * SHARE[1] // SHARE[0], side="right"))
-        own = offers.setdefault(int(part[at]), [])
+        mark[places[at]] = 1
         for low in range(first, end, BLOCK):
             rest = slice(low, min(end, low + BLOCK))
-            agree = np.where(part[rest] != part[at], (signature[rest] == signature[at]).sum(1), 0)
-            for j in np.flatnonzero(agree >= AGREE).tolist():
-                offer = (int(agree[j]), int(ids[at]), int(ids[low + j]))
-                if len(own) < k:
-                    heapq.heappush(own, offer)
-                else:
-                    more.add(int(part[at]))
-                    heapq.heappushpop(own, offer)
-    found = [(max(a, b), min(a, b), p in more) for p, own in offers.items() for _, a, b in own]
+            same = signature[rest] == signature[at]
+            maybe = (part[rest] != part[at]) & (same.sum(1) >= AGREE)
+            maybe &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
+            some = low + np.flatnonzero(maybe)
+            if len(some):
+                edge = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+                both = np.add.reduceat(mark[np.concatenate([places[j] for j in some])], edge)
+                for j in some[SHARE[1] * both >= SHARE[0] * (size[some] + size[at] - both)].tolist():
+                    if part[j] != part[at]:
+                        found.append((max(ids[j], ids[at]), min(ids[j], ids[at])))
+                        part[part == part[j]] = part[at]
+        mark[places[at]] = 0
     if found:
-        yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "more"), f)) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,21 +219,12 @@ def _linked(docs: DataFrame) -> DataFrame:
     stars = members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     text = cut(docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").distinct())
     links = cut(confirm(stars, text))
-    found, k = cut(components(links)), 1
-    while True:
-        marked = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        open_ = marked.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-        rest = marked.join(open_, "bucket").join(heads.select("id", "n", "signature"), "id")
-        rest = rest.select("bucket", "id", "part", "n", "signature").repartition("bucket").sortWithinPartitions("bucket")
-        offers = cut(rest.mapInArrow(_strays(k), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        n, more = offers.agg(F.count(F.lit(1)), F.max("more")).first()
-        if not n:
-            break
-        links = links.unionAll(cut(confirm(offers.select("a", "b"), text)))
-        found = cut(components(links))
-        if not more:
-            break
-        k *= 4
+    marked = members.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    open_ = marked.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+    rest = marked.join(open_, "bucket").join(heads.select("id", "n", "signature"), "id").join(text.withColumnRenamed("doc_id", "id"), "id")
+    rest = rest.select("bucket", "id", "part", "n", "signature", "text").repartition("bucket").sortWithinPartitions("bucket")
+    links = links.unionAll(cut(rest.mapInArrow(_strays, "a long, b long")))
+    found = components(links)
     heads = heads.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     out = profiles.join(heads, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -67,11 +67,16 @@ def test_strays_find_links_the_star_misses():
     import numpy as np
     import pyarrow as pa
 
-    a, b = np.arange(128, dtype=np.uint16), np.arange(128, dtype=np.uint16)
-    b[:30] += 500
-    hub = np.full(128, 7, np.uint16)
-    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 1]), pa.array([0, 5, 9]), pa.array([0, 5, 9]), pa.array([100, 100, 110]), pa.array([x.tobytes() for x in (hub, a, b)])], list("abcde"))
-    assert [p.to_pylist() for p in op._strays(1)([rows])] == [[{"a": 9, "b": 5, "more": False}] * 2]
+    rng = random.Random(9)
+    base = words(rng, 130).split()
+    texts = [words(rng, 130), " ".join(base), " ".join(base[:126])]
+    sets = op.shingle_sets(pa.array(texts))
+    signature = op.signatures(sets)
+    band = int((op.band_keys(signature[1:2]) == op.band_keys(signature[2:3]))[0].argmax())
+    signature[0, 4 * band : 4 * band + 4] = signature[1, 4 * band : 4 * band + 4]
+    bucket = int(op.band_keys(signature[:1])[0, band])
+    rows = pa.RecordBatch.from_arrays([pa.array([bucket] * 3), pa.array([0, 5, 9]), pa.array([0, 5, 9]), pa.array([len(s) for s in sets]), pa.array([np.ascontiguousarray(x).tobytes() for x in signature]), pa.array(texts)], list("abcdef"))
+    assert [p.to_pylist() for p in op._strays([rows])] == [[{"a": 9, "b": 5}]]
 
 
 def test_components(spark):
