@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import analysis, color, geometry, imaging  # noqa: E402, F401
+from . import analysis, audio, color, geometry, imaging  # noqa: E402, F401
