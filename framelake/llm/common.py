@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch between the JVM and Python; texts may be long, so batches are kept short.
 BATCH_ROWS = 1000
 #: Bytes of text that a vectorised kernel takes at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

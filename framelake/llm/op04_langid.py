@@ -23,7 +23,7 @@ ROUNDS = 3
 PIECE = 12
 PART = 48
 #: Words kept by a worker with their scores.
-CACHE = 400_000
+CACHE = 200_000
 MARK = "▁"
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7

@@ -77,8 +77,8 @@ class ChunkEncoder:
     def clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.which = np.full(self.slots, -1, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 15, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.first = np.zeros(1 << 15, np.int32)
         self.used, self.n = 0, 0
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ class ChunkEncoder:
     def learn(self, chunks: list[str]) -> None:
         for k in range(0, len(chunks), 20_000):
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
-            flat = np.array([i for ids in lists for i in ids], np.uint32)
+            flat = np.array([i for ids in lists for i in ids], self.ids.dtype)
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -145,7 +145,7 @@ class ChunkEncoder:
             self.learn([whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             self.insert(new, np.arange(number, self.n, dtype=np.int32))
             which[missing] = self.find(keys[missing])
-        start = self.first[which]
+        start = self.first[which].astype(np.int64)
         length = self.first[which + 1] - start
         stop = np.concatenate([[0], np.cumsum(length)])
         out = stop[np.searchsorted(starts, offsets)] + np.arange(len(offsets))  # a text's end id stands behind its chunks
