@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .op01_license import op1_licences
 from .op02_packing import op2_packing
 from .op03_chat import OP3_SQL, op3_chat_rotation
@@ -14,4 +15,4 @@ from .op09_decontaminate import op9_decontamination
 from .op10_mpeg import op10_mpeg_audio
 
 QUERIES = {f.__name__: f for f in (op1_licences, op2_packing, op3_chat_rotation, op4_language_id, op5_token_shards, op6_secrets, op7_repeats, op8_near_duplicates, op9_decontamination, op10_mpeg_audio)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_rotation": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_rotation": OP3_SQL, "op7_repeats": oracle.REPEATS, "op8_near_duplicates": oracle.NEAR_DUPLICATES}
