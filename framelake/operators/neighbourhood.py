@@ -166,21 +166,29 @@ def sobel_edges(df: DataFrame, threshold: int = 50) -> DataFrame:
 
 
 def box_mean(df: DataFrame, radius: int) -> DataFrame:
-    """The mean of a square, clipped at the edges."""
+    """The mean of a square, clipped at the edges: sums along rows, then along columns."""
     w, h = F.col("w"), F.col("h")
+    summed = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
-    def plane(p: Column) -> Column:
+    def along_rows(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            x = i % w
+            first, last = F.greatest(x - radius, F.lit(0)), F.least(x + radius, w - 1)
+            return summed(F.slice(p, i - x + first + 1, last - first + 1))
+
+        return F.transform(F.sequence(F.lit(0), w * h - 1), at)
+
+    def along_columns(p: Column) -> Column:
         def at(i: Column) -> Column:
             x, y = i % w, F.floor(i / w).cast("int")
-            cells = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-            ok = lambda dx, dy: (x + dx >= 0) & (x + dx < w) & (y + dy >= 0) & (y + dy < h)
-            value = total(F.when(ok(dx, dy), F.get(p, (y + dy) * w + x + dx).cast("double")).otherwise(F.lit(0.0)) for dx, dy in cells)
-            count = (F.least(x + radius, w - 1) - F.greatest(x - radius, F.lit(0)) + 1) * (F.least(y + radius, h - 1) - F.greatest(y - radius, F.lit(0)) + 1)
-            return value / count
+            first, last = F.greatest(y - radius, F.lit(0)), F.least(y + radius, h - 1)
+            wide = F.least(x + radius, w - 1) - F.greatest(x - radius, F.lit(0)) + 1
+            return summed(F.transform(F.sequence(first, last), lambda j: F.get(p, j * w + x))) / (wide * (last - first + 1))
 
         return F.transform(F.sequence(F.lit(0), w * h - 1), at)
 
-    return df.withColumn("planes", F.transform("planes", plane))
+    df = df.withColumn("planes", F.transform("planes", along_rows))
+    return df.withColumn("planes", F.transform("planes", along_columns))
 
 
 def guided_filter(df: DataFrame, radius: int = 15, eps: float = 0.01) -> DataFrame:

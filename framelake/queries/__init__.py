@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import analysis, audio, codes, color, geometry, imaging, timeline  # noqa: E402, F401
+from . import analysis, audio, codes, color, document, geometry, imaging, timeline  # noqa: E402, F401
