@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,22 +26,15 @@ def iou_pairs(boxes: DataFrame, least: float = 0.0) -> DataFrame:
 
 
 def nms(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Greedy suppression: the best box stays, boxes with an overlap of threshold or more go, and so on."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        c = {n: table.column(n).to_numpy() for n in ("x1", "y1", "x2", "y2", "score", "det_id")}
-        order, keep = list(np.lexsort((c["det_id"], -c["score"]))), []
-        area = (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
-        while order:
-            best, rest = order[0], np.array(order[1:], int)
-            keep.append(best)
-            w = np.minimum(c["x2"][best], c["x2"][rest]) - np.maximum(c["x1"][best], c["x1"][rest])
-            h = np.minimum(c["y2"][best], c["y2"][rest]) - np.maximum(c["y1"][best], c["y1"][rest])
-            both = np.maximum(0, w) * np.maximum(0, h)
-            order = list(rest[both / np.maximum(area[best] + area[rest] - both, 1e-12) < threshold])
-        return table.take(keep)
-
-    return boxes.groupBy("image_id").applyInArrow(run, boxes.schema)
+    """Greedy suppression: the best box stays, boxes with an overlap of threshold or more go, and so on.
+
+    A fold over an image's boxes in order of score, in the JVM; an image's boxes make one row, as they are few.
+    """
+    names = boxes.columns
+    grouped = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), F.col("det_id").alias("tie"), F.struct(*names).alias("box")))).alias("all"))
+    ordered = F.transform("all", lambda b: b["box"])
+    keep = F.aggregate(ordered, F.slice(ordered, 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) >= threshold), kept).otherwise(F.array_append(kept, b)))
+    return grouped.select(F.explode(keep).alias("b")).select(*(F.col(f"b.{n}").alias(n) for n in names))
 
 
 def softmax_top(df: DataFrame, scores: Column, n: int) -> DataFrame:
