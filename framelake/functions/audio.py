@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 CURVES = ("linear", "logarithmic", "exponential", "s_curve", "sine")
 DISTORTIONS = ("overdrive", "hard_clip", "tube", "fuzz", "bitcrush")
 
@@ -60,18 +62,17 @@ def invert_phase(s: Column) -> Column:
 
 def remove_dc(s: Column) -> Column:
     mean = F.aggregate(s, F.lit(0.0), lambda t, v: t + v) / F.nullif(F.size(s), F.lit(0))
-    return F.transform(s, lambda v: v - mean)
+    return let(mean, lambda m: F.transform(s, lambda v: v - m))
 
 
 def normalize_peak(s: Column, db: float) -> Column:
-    top = peak(s)
-    return F.when(top < 1e-10, s).otherwise(F.transform(s, lambda v: unit(v * (F.lit(db_to_linear(db)) / top))))
+    return let(peak(s), lambda top: F.when(top < 1e-10, s).otherwise(F.transform(s, lambda v: unit(v * (F.lit(db_to_linear(db)) / top)))))
 
 
 def normalize_rms(s: Column, db: float) -> Column:
     """To a root mean square, but no further than a peak of 1."""
     factor = F.least(F.lit(db_to_linear(db)) / rms(s), F.lit(1.0) / peak(s))
-    return F.when(rms(s) < 1e-10, s).otherwise(F.transform(s, lambda v: unit(v * factor)))
+    return F.when(rms(s) < 1e-10, s).otherwise(let(factor, lambda k: F.transform(s, lambda v: unit(v * k))))
 
 
 def curve(p: Column, kind: str) -> Column:

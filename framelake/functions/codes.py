@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: The bars of Code 128.
 START, STOP = "110100100010", "1100011101011"
 PATTERNS = {"0": "11011001100", "1": "11001101100", "A": "10100110010"}
@@ -22,10 +24,12 @@ def qr_size(text: Column) -> Column:
 
 def qr_matrix(text: Column) -> Column:
     """The modules row by row, 1 dark: bits fill columns in pairs from column 8 on, over finder and timing patterns."""
-    size = qr_size(text)
     bits = F.transform(F.split(F.hex(F.encode(text, "UTF-8")), ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0"))
-    bits = F.array_join(bits, "")
+    known = F.struct(qr_size(text).alias("size"), F.array_join(bits, "").alias("bits"))
+    return let(known, lambda k: _modules(k["size"], k["bits"]))
+
 
+def _modules(size: Column, bits: Column) -> Column:
     def finder(x: Column, y: Column) -> Column:
         inside = (x >= 0) & (x <= 6) & (y >= 0) & (y <= 6)
         dark = (x == 0) | (x == 6) | (y == 0) | (y == 6) | ((x >= 2) & (x <= 4) & (y >= 2) & (y <= 4))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 
 def rgba(df: DataFrame) -> DataFrame:
     """Planes as R, G, B, A, whatever they were."""
@@ -79,12 +81,11 @@ def depth_blur(df: DataFrame, depth: Column, focus: float, strength: float) -> D
     depth is an array column of 0..1 for each pixel of the row.
     """
     w, h = F.col("w"), F.col("h")
-    df = df.withColumn("depth", depth)
 
-    def plane(p: Column) -> Column:
+    def plane(p: Column, depths: Column) -> Column:
         def at(v: Column, i: Column) -> Column:
             x, y = i % w, F.floor(i / w).cast("int")
-            r = F.least(F.lit(10), F.floor(F.abs(F.get(F.col("depth"), i) - F.lit(float(focus))) * F.lit(float(strength)) + F.lit(1e-9)).cast("int"))
+            r = F.least(F.lit(10), F.floor(F.abs(F.get(depths, i) - F.lit(float(focus))) * F.lit(float(strength)) + F.lit(1e-9)).cast("int"))
             xs = F.sequence(F.greatest(F.lit(0), x - r), F.least(w - 1, x + r))
             ys = F.sequence(F.greatest(F.lit(0), y - r), F.least(h - 1, y + r))
             whole = F.aggregate(ys, F.lit(0), lambda s, j: s + F.aggregate(F.slice(p, j * w + F.greatest(F.lit(0), x - r) + 1, F.size(xs)), F.lit(0), lambda t, u: t + u))
@@ -92,7 +93,7 @@ def depth_blur(df: DataFrame, depth: Column, focus: float, strength: float) -> D
 
         return F.transform(p, at)
 
-    return df.withColumn("planes", F.transform("planes", plane)).drop("depth")
+    return df.withColumn("planes", let(depth, lambda depths: F.transform("planes", lambda p: plane(p, depths))))
 
 
 def subtitle_box(px: DataFrame, cues: DataFrame, top: float = 0.9, char_width: float = 0.55, font: float = 0.05) -> DataFrame:

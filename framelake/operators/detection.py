@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two boxes (structs x1, y1, x2, y2)."""
@@ -39,10 +41,9 @@ def nms(boxes: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 def softmax_top(df: DataFrame, scores: Column, n: int) -> DataFrame:
     """The n greatest softmax probabilities (id, rank, label, p); of equal ones the last label, as an argmax by >= finds."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda v: F.exp(v.cast("double") - top.cast("double")))
-    total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    ranked = F.slice(F.sort_array(F.transform(e, lambda v, i: F.struct((v / total).alias("p"), i.alias("label"))), asc=False), 1, n)
+    shifted = let(F.array_max(scores), lambda top: F.transform(scores, lambda v: F.exp(v.cast("double") - top.cast("double"))))
+    shares = let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v, i: F.struct((v / total).alias("p"), i.alias("label")))))
+    ranked = F.slice(F.sort_array(shares, asc=False), 1, n)
     rows = df.select("id", F.posexplode(ranked).alias("rank", "r"))
     return rows.select("id", "rank", F.col("r.label").alias("label"), F.round("r.p", 6).alias("p"))
 
@@ -90,8 +91,8 @@ def age_range(age: Column) -> Column:
 
 def depth_gray(df: DataFrame) -> DataFrame:
     """Depth values (depth array) stretched to 0..255, cut; constant depths are 0."""
-    low, high = F.array_min("depth"), F.array_max("depth")
-    return df.withColumn("gray", F.transform("depth", lambda v: F.when(high > low, F.floor((v - low) / (high - low) * 255.0)).otherwise(0).cast("int")))
+    stretched = lambda b: F.transform("depth", lambda v: F.when(b["high"] > b["low"], F.floor((v - b["low"]) / (b["high"] - b["low"]) * 255.0)).otherwise(0).cast("int"))
+    return df.withColumn("gray", let(F.struct(F.array_min("depth").alias("low"), F.array_max("depth").alias("high")), stretched))
 
 
 def token_segments(tokens: DataFrame, end: int = 50257, first_time: int = 50364, step: float = 0.02) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import analysis, geometry, neighbourhood
+from ..functions.binding import let
 from ..model import pixels
 
 #: What is darker than this is content; a smaller rest is no crop.
@@ -17,7 +18,7 @@ PAPER, LEAST = 250, 10
 
 def content_box(df: DataFrame, margin: int) -> DataFrame:
     """Adds left, top, right, bottom of the content of luma images, with a margin, or the whole image."""
-    df = geometry._bounds(df, lambda i: F.get(F.col("planes")[0], i) < PAPER)
+    df = geometry.bounds(df, lambda planes, i: F.get(planes[0], i) < PAPER)
     w, h = F.col("w"), F.col("h")
     return df.withColumns({
         "left": F.coalesce(F.greatest(F.lit(0), F.col("x0") - margin), F.lit(0)),
@@ -37,8 +38,8 @@ def remove_borders(df: DataFrame, margin: int = 10) -> DataFrame:
 
 def enhance(df: DataFrame) -> DataFrame:
     """Luma stretched to 0..255, cut, then sharpened by 5 c - up - down - left - right inside the border."""
-    low, high = F.array_min(F.col("planes")[0]), F.array_max(F.col("planes")[0])
-    stretched = F.transform(F.col("planes")[0], lambda v: F.when(high > low, F.floor((v - low) / (high - low) * 255.0 + F.lit(1e-9)).cast("int")).otherwise(v))
+    bounds = F.struct(F.array_min(F.col("planes")[0]).alias("low"), F.array_max(F.col("planes")[0]).alias("high"))
+    stretched = let(bounds, lambda b: F.transform(F.col("planes")[0], lambda v: F.when(b["high"] > b["low"], F.floor((v - b["low"]) / (b["high"] - b["low"]) * 255.0 + F.lit(1e-9)).cast("int")).otherwise(v)))
     df = df.withColumn("planes", F.array(stretched))
 
     def value(v: Column, i: Column, tap) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 NEAREST, BILINEAR = "nearest", "bilinear"
 ANCHORS = {"tl": (0, 0), "t": (1, 0), "tr": (2, 0), "l": (0, 1), "center": (1, 1), "r": (2, 1), "bl": (0, 2), "b": (1, 2), "br": (2, 2)}
 Map = Callable[[Column, Column], tuple[Column, Column]]
@@ -53,19 +55,24 @@ def _canvas(df: DataFrame, ow: Column, oh: Column, planes: Column) -> DataFrame:
     return df.select("image_id", F.col("new_w").alias("w"), F.col("new_h").alias("h"), "planes")
 
 
-def gather(df: DataFrame, ow, oh, source: Map, color=None) -> DataFrame:
-    """Integer places: out(x, y) = in(source(x, y))."""
+def gather(df: DataFrame, ow, oh, source: Callable, color=None, known: Column | None = None) -> DataFrame:
+    """Integer places: out(x, y) = in(source(x, y)), or in(source(x, y, known)) with a value known for the row."""
     ow, oh = whole(ow), whole(oh)
 
-    def value(plane: Column, fill: Column):
-        def at(i: Column) -> Column:
-            sx, sy = source(i % ow, F.floor(i / ow).cast("int"))
-            inside = (sx >= 0) & (sx < width_of()) & (sy >= 0) & (sy < height_of())
-            return F.when(inside, F.get(plane, (sy * width_of() + sx).cast("int"))).otherwise(fill)
+    def planes(row: Column) -> Column:
+        def value(plane: Column, fill: Column):
+            def at(i: Column) -> Column:
+                x, y = i % row["ow"], F.floor(i / row["ow"]).cast("int")
+                sx, sy = source(x, y) if known is None else source(x, y, row["known"])
+                inside = (sx >= 0) & (sx < width_of()) & (sy >= 0) & (sy < height_of())
+                return F.when(inside, F.get(plane, (sy * width_of() + sx).cast("int"))).otherwise(fill)
 
-        return F.transform(F.sequence(F.lit(0), ow * oh - 1), at)
+            return F.transform(F.sequence(F.lit(0), row["ow"] * row["oh"] - 1), at)
 
-    return _canvas(df, ow, oh, _planes(value, color))
+        return _planes(value, color)
+
+    row = F.struct(ow.alias("ow"), oh.alias("oh"), *([known.alias("known")] if known is not None else []))
+    return _canvas(df, ow, oh, let(row, planes))
 
 
 def sample(df: DataFrame, ow, oh, source: Map, interpolation: str = BILINEAR) -> DataFrame:
@@ -170,7 +177,7 @@ def crop(df: DataFrame, x, y, width, height) -> DataFrame:
     x, y, width, height = (whole(v) for v in (x, y, width, height))
     bad = (width <= 0) | (height <= 0) | (x < 0) | (y < 0) | (x + width > width_of()) | (y + height > height_of())
     checked = F.when(bad, F.raise_error(F.lit("crop is out of bounds")).cast("int")).otherwise(width)
-    return gather(df, checked, height, lambda i, j: (i + x, j + y))
+    return gather(df, checked, height, lambda i, j, k: (i + k["x"], j + k["y"]), known=F.struct(x.alias("x"), y.alias("y")))
 
 
 def crop_center(df: DataFrame, width: int, height: int) -> DataFrame:
@@ -196,37 +203,36 @@ def crop_percentage(df: DataFrame, top: float, right: float, bottom: float, left
     return crop(df, F.least(x, width_of() - 1), F.least(y, height_of() - 1), width, height)
 
 
-def _bounds(df: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
-    """Adds x0, x1, y0, y1 of the places i with keep(i), or null."""
-    places = F.filter(F.sequence(F.lit(0), width_of() * height_of() - 1), keep)
+def bounds(df: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds x0, x1, y0, y1 of the places i with keep(planes, i), or null."""
+    places = let(F.col("planes"), lambda planes: F.filter(F.sequence(F.lit(0), width_of() * height_of() - 1), lambda i: keep(planes, i)))
     df = df.withColumn("at", places)
     xs, ys = F.transform("at", lambda i: i % width_of()), F.transform("at", lambda i: F.floor(i / width_of()).cast("int"))
     return df.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}).drop("at")
 
 
-def _crop_bounds(df: DataFrame) -> DataFrame:
+def _crop_to_bounds(df: DataFrame) -> DataFrame:
     x, y = F.coalesce("x0", F.lit(0)), F.coalesce("y0", F.lit(0))
     return crop(df, x, y, F.coalesce(F.col("x1") + 1, width_of()) - x, F.coalesce(F.col("y1") + 1, height_of()) - y)
 
 
 def autocrop(df: DataFrame, tolerance: int = 0) -> DataFrame:
     """Cuts borders that equal the first pixel up to a tolerance; an image of nothing else stays."""
-    off = lambda i: F.exists("planes", lambda p: F.abs(F.get(p, i) - F.get(p, F.lit(0))) > tolerance)
-    return _crop_bounds(_bounds(df, off))
+    off = lambda planes, i: F.exists(planes, lambda p: F.abs(F.get(p, i) - F.get(p, F.lit(0))) > tolerance)
+    return _crop_to_bounds(bounds(df, off))
 
 
 trim = autocrop
 
 
 def _alpha(threshold: int = 0):
-    alpha = F.element_at("planes", -1)
-    return lambda i: F.get(alpha, i) > threshold
+    return lambda planes, i: F.get(F.element_at(planes, -1), i) > threshold
 
 
 def crop_to_content(df: DataFrame) -> DataFrame:
     """The bounding box of alpha above 0; images without alpha stay."""
     keep = _alpha()
-    return _crop_bounds(_bounds(df, lambda i: F.when(F.size("planes") % 2 == 0, keep(i)).otherwise(F.lit(True))))
+    return _crop_to_bounds(bounds(df, lambda planes, i: F.when(F.size(planes) % 2 == 0, keep(planes, i)).otherwise(F.lit(True))))
 
 
 def pad(df: DataFrame, top, right, bottom, left, color=(0, 0, 0, 0)) -> DataFrame:
@@ -272,13 +278,18 @@ def frame(df: DataFrame, mat: int, mat_color, outer: int, outer_color) -> DataFr
 
 def recenter(df: DataFrame, alpha_threshold: int = 0) -> DataFrame:
     """Moves what has alpha above a threshold to the middle; wholly transparent images stay."""
-    df = _bounds(df, _alpha(alpha_threshold))
+    df = bounds(df, _alpha(alpha_threshold))
     x0, y0 = F.coalesce("x0", F.lit(0)), F.coalesce("y0", F.lit(0))
     x1, y1 = F.coalesce("x1", width_of() - 1), F.coalesce("y1", height_of() - 1)
     dx = F.floor((width_of() - (x1 - x0 + 1)) / 2).cast("int") - x0
     dy = F.floor((height_of() - (y1 - y0 + 1)) / 2).cast("int") - y0
-    inside = lambda sx, sy: F.when((sx >= x0) & (sx <= x1) & (sy >= y0) & (sy <= y1), sx).otherwise(F.lit(-1))
-    return gather(df, width_of(), height_of(), lambda x, y: (inside(x - dx, y - dy), y - dy))
+    box = F.struct(*(c.alias(n) for c, n in ((x0, "x0"), (x1, "x1"), (y0, "y0"), (y1, "y1"), (dx, "dx"), (dy, "dy"))))
+
+    def source(x, y, k):
+        sx, sy = x - k["dx"], y - k["dy"]
+        return F.when((sx >= k["x0"]) & (sx <= k["x1"]) & (sy >= k["y0"]) & (sy <= k["y1"]), sx).otherwise(F.lit(-1)), sy
+
+    return gather(df, width_of(), height_of(), source, known=box)
 
 
 recenter_with_alpha_threshold = recenter

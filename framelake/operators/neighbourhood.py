@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: The Laplacian of edge detection and the emboss kernel.
 EDGE = (-1, -1, -1, -1, 8, -1, -1, -1, -1)
 EMBOSS = (-2, -1, 0, -1, 1, 1, 0, 1, 2)
@@ -120,14 +122,14 @@ def denoise(df: DataFrame, strength: int) -> DataFrame:
     blurred = gaussian_blur(kept, 0.5 * n)
     w, h = F.col("w"), F.col("h")
 
-    def variance(i: Column) -> Column:
+    def variance(other: Column, i: Column) -> Column:
         x, y = i % w, F.floor(i / w).cast("int")
         near = lambda p: total(F.abs(F.get(p, F.greatest(F.lit(0), F.least(h - 1, y + dy)) * w + F.greatest(F.lit(0), F.least(w - 1, x + dx))) - F.get(p, i)) for dx, dy in AROUND)
-        return F.aggregate(F.transform("other", near), F.lit(0.0), lambda s, v: s + v) / (F.size("other") * F.lit(9.0))
+        return F.aggregate(F.transform(other, near), F.lit(0.0), lambda s, v: s + v) / (F.size(other) * F.lit(9.0))
 
-    blurred = blurred.withColumn("blend", F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.least(F.lit(1.0), variance(i) / F.lit(threshold))))
-    mixed = F.zip_with("planes", "other", lambda b, v: F.transform(v, lambda o, i: F.floor(o * F.get(F.col("blend"), i) + F.get(b, i) * (F.lit(1.0) - F.get(F.col("blend"), i)) + F.lit(0.5 + 1e-9)).cast("int")))
-    return blurred.withColumn("planes", mixed).drop("other", "blend")
+    blend = let(F.col("other"), lambda other: F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.least(F.lit(1.0), variance(other, i) / F.lit(threshold))))
+    mixed = lambda k: F.zip_with("planes", "other", lambda b, v: F.transform(v, lambda o, i: F.floor(o * F.get(k, i) + F.get(b, i) * (F.lit(1.0) - F.get(k, i)) + F.lit(0.5 + 1e-9)).cast("int")))
+    return blurred.withColumn("planes", let(blend, mixed)).drop("other")
 
 
 def deinterlace(df: DataFrame, field: int = 0) -> DataFrame:
