@@ -160,7 +160,7 @@ def quality(px: DataFrame) -> DataFrame:
 
 def rank(report: DataFrame) -> DataFrame:
     """Reports with their place by score, ties by image_id. The total order needs a sort, but no single partition."""
-    return report.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "image_id")))
+    return report.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "image_id")).cast("long"))
 
 
 def best(report: DataFrame, n: int = 1) -> DataFrame:

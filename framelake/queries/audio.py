@@ -15,10 +15,10 @@ from . import query
 RATE = 1000
 
 
-def add(name: str, sql: str, g, *args):
+def add(name: str, sql: str, g, *args, places: int = 6):
     @query(name, sql)
     def run(spark, sf_dir):
-        return model.samples(a.change(model.clips(spark, sf_dir), g, *args)).withColumn("s", F.round("s", 6))
+        return model.samples(a.change(model.clips(spark, sf_dir), g, *args)).withColumn("s", F.round("s", places))
 
 
 def each(expression: str, of: str = "{sig}") -> str:
@@ -52,11 +52,11 @@ add("trim_silence", each("s").replace("i, round", "i - greatest(0, lo - 2) AS i,
 
 
 def resampled(ratio: float, length: str) -> str:
-    return f"SELECT c.clip_id, j AS i, round(coalesce(p.s * (1 - (j * {ratio!r}::DOUBLE - floor(j * {ratio!r}::DOUBLE))) + q.s * (j * {ratio!r}::DOUBLE - floor(j * {ratio!r}::DOUBLE)), p.s, 0), 6) AS s FROM (SELECT clip_id, unnest(range(CAST({length} AS BIGINT))) AS j FROM {{sig}} GROUP BY clip_id) c LEFT JOIN {{sig}} p ON p.clip_id = c.clip_id AND p.i = floor(j * {ratio!r}::DOUBLE) LEFT JOIN {{sig}} q ON q.clip_id = c.clip_id AND q.i = floor(j * {ratio!r}::DOUBLE) + 1"
+    return f"SELECT c.clip_id, j AS i, round(coalesce(p.s * (1 - (j * {ratio!r}::DOUBLE - floor(j * {ratio!r}::DOUBLE))) + q.s * (j * {ratio!r}::DOUBLE - floor(j * {ratio!r}::DOUBLE)), p.s, 0), 10) AS s FROM (SELECT clip_id, unnest(range(CAST({length} AS BIGINT))) AS j FROM {{sig}} GROUP BY clip_id) c LEFT JOIN {{sig}} p ON p.clip_id = c.clip_id AND p.i = floor(j * {ratio!r}::DOUBLE) LEFT JOIN {{sig}} q ON q.clip_id = c.clip_id AND q.i = floor(j * {ratio!r}::DOUBLE) + 1"
 
 
-add("pitch_shift", resampled(2.0 ** (5 / 12), f"floor(count(*) / {2.0 ** (5 / 12)!r}::DOUBLE + 1e-9)"), f.pitch_shift, 5.0)
-add("resample_linear", resampled(44100 / 16000, "greatest(1, floor(count(*) * 16000 / 44100.0::DOUBLE + 0.5))"), f.resample_linear, 44100, 16000)
+add("pitch_shift", resampled(2.0 ** (5 / 12), f"floor(count(*) / {2.0 ** (5 / 12)!r}::DOUBLE + 1e-9)"), f.pitch_shift, 5.0, places=10)
+add("resample_linear", resampled(44100 / 16000, "greatest(1, floor(count(*) * 16000 / 44100.0::DOUBLE + 0.5))"), f.resample_linear, 44100, 16000, places=10)
 add("pcm16", "SELECT clip_id, i, CAST(trunc(s * 32767) AS DOUBLE) AS s FROM {sig}", lambda s: F.transform(f.pcm(s, 16), lambda v: v.cast("double")))
 
 
@@ -97,10 +97,10 @@ def add_clips(spark, sf_dir):
     return model.samples(df).withColumn("s", F.round("s", 6))
 
 
-def recurrent(name: str, sql: str | None, kernel: str, **settings):
+def recurrent(name: str, sql: str | None, kernel: str, places: int = 6, **settings):
     @query(name, sql)
     def run(spark, sf_dir):
-        return model.samples(a.recurrence(model.clips(spark, sf_dir), kernel, RATE, **settings)).withColumn("s", F.round("s", 6))
+        return model.samples(a.recurrence(model.clips(spark, sf_dir), kernel, RATE, **settings)).withColumn("s", F.round("s", places))
 
 
 def envelope_sql(attack: float, release: float, more: str = "", first: str = "") -> str:
@@ -122,7 +122,7 @@ recurrent("gate", recursive(envelope_sql(AT, RE, G, f", {DB(-60)} AS g") + " SEL
 B = kernels.biquad_coefficients("peak", 120, 4, 1.2, RATE)
 recurrent("equalizer", recursive("e AS (SELECT clip_id, CAST(-1 AS BIGINT) AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 FROM (SELECT DISTINCT clip_id FROM {sig}) UNION ALL SELECT n.clip_id, n.i, n.s, e.x1, " + f"{B[0]!r}::DOUBLE * n.s + {B[1]!r}::DOUBLE * e.x1 + {B[2]!r}::DOUBLE * e.x2 - {B[3]!r}::DOUBLE * e.y1 - {B[4]!r}::DOUBLE * e.y2, e.y1" + " FROM e JOIN {sig} n ON n.clip_id = e.clip_id AND n.i = e.i + 1) SELECT clip_id, i, round(y1, 6) AS s FROM e WHERE i >= 0"), "equalizer", bands=[("peak", 120, 4, 1.2)])
 recurrent("delay_once", "SELECT clip_id, i, round(s * 0.6::DOUBLE + coalesce(lag(s, 7) OVER (PARTITION BY clip_id ORDER BY i), 0) * 0.4::DOUBLE, 6) AS s FROM {sig}", "delay", ms=7, feedback=0.0, wet=0.4)
-recurrent("delay", recursive("e AS (SELECT clip_id, i, s, s AS z FROM {sig} WHERE i < 7 UNION ALL SELECT n.clip_id, n.i, n.s, n.s + 0.5::DOUBLE * e.z FROM e JOIN {sig} n ON n.clip_id = e.clip_id AND n.i = e.i + 7) SELECT clip_id, i, round(s * 0.6::DOUBLE + coalesce(lag(z, 7) OVER (PARTITION BY clip_id ORDER BY i), 0) * 0.4::DOUBLE, 6) AS s FROM e"), "delay", ms=7, feedback=0.5, wet=0.4)
+recurrent("delay", recursive("e AS (SELECT clip_id, i, s, s AS z FROM {sig} WHERE i < 7 UNION ALL SELECT n.clip_id, n.i, n.s, n.s + 0.6::DOUBLE * e.z FROM e JOIN {sig} n ON n.clip_id = e.clip_id AND n.i = e.i + 7) SELECT clip_id, i, round(s * 0.6::DOUBLE + coalesce(lag(z, 7) OVER (PARTITION BY clip_id ORDER BY i), 0) * 0.4::DOUBLE, 10) AS s FROM e"), "delay", 10, ms=7, feedback=0.6, wet=0.4)
 recurrent("reverb", None, "reverb", room=0.8, damping=0.3, wet=0.4, pre_delay_ms=3)
 recurrent("chorus", None, "chorus")
 recurrent("flanger", None, "flanger")

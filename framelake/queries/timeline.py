@@ -193,7 +193,7 @@ def softmax_topn(spark, sf_dir):
 @query("ctc_collapse", "SELECT vec_id AS id, list(token ORDER BY pos) AS tokens FROM (SELECT *, lag(token) OVER (PARTITION BY vec_id ORDER BY pos) AS before FROM (SELECT image_id AS vec_id, y * 8 + x AS pos, v // 64 AS token FROM {gray8})) WHERE token <> 2 AND (before IS NULL OR before <> token) GROUP BY vec_id")
 def ctc_collapse(spark, sf_dir):
     px = model.pixels(model.gray8(spark, sf_dir))
-    return d.ctc_collapse(px.select(F.col("image_id").alias("id"), (F.col("y") * 8 + F.col("x")).alias("pos"), F.floor(F.col("v") / 64).alias("token")), 2)
+    return d.ctc_collapse(px.select(F.col("image_id").alias("id"), (F.col("y") * 8 + F.col("x")).alias("pos"), F.floor(F.col("v") / 64).cast("int").alias("token")), 2)
 
 
 POSE = "(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS ax, CAST(embedding[2] AS DOUBLE) AS ay, CAST(embedding[3] AS DOUBLE) AS bx, CAST(embedding[4] AS DOUBLE) AS \"by\", CAST(embedding[5] AS DOUBLE) AS cx, CAST(embedding[6] AS DOUBLE) AS cy FROM embeddings)"
