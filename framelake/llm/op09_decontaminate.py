@@ -12,10 +12,20 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, documents, mix64, named, span_hashes, text_bytes, text_slices, word_spans
 
-#: 1: the word counts, 0: it may differ.
-MASKS = ("1101100110101", "1011010011011", "1110010101011")
-SPAN = 13
-#: Shorter items are looked up as a whole, from this many words.
+#: 1: the word counts, 0: it may differ. Each overlap that the rule below accepts holds a seed: no start or end of a best
+#: run has half as many differences as matches, and the masks meet all such runs of up to 15 words and all starts of 16.
+MASKS = ("11101100101", "111010110001", "111100010011", "1110110101", "1111100011", "1111010101", "111101101")
+#: The same for the runs that are accepted of items with so few words.
+SHORT = {
+    5: ("1111",),
+    6: ("11111",),
+    7: ("111111", "1110111"),
+    8: ("1111111", "11110111", "11101111"),
+    9: ("11111111", "111110111", "111101111", "111011111"),
+    10: ("11110111", "111011011"),
+    11: ("1110110111", "111101111", "1111010111", "1110111011"),
+}
+#: Items under so many words overlap nothing.
 LEAST = 5
 #: An overlap needs so many equal words, or this share of a short item's, and this share of its length.
 WORDS, SHARE, IDENTITY = 10, 0.8, 0.7
@@ -52,28 +62,30 @@ class SeedIndex:
     def __init__(self, ids: list[int], texts: list[str | None]):
         words, first = hashed_words(pa.array(texts, pa.string()))
         self.items = [(i, words[a:b]) for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()) if b - a >= LEAST]
-        self.masks = list(MASKS) + sorted({"1" * len(w) for _, w in self.items if len(w) < SPAN})
+        masks = [SHORT.get(len(w), MASKS) for _, w in self.items]
+        self.masks = sorted(set().union(*masks))
         self.seeds = []
         for mask in self.masks:
             keys, item, place = [], [], []
             for k, (_, w) in enumerate(self.items):
-                if (len(mask) == len(w)) if len(w) < SPAN else mask in MASKS:
+                if mask in masks[k]:
                     h = seed_hashes(w, mask)
                     keys.append(h)
-                    item.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
+                    item.append(np.full(len(h), k, np.int32))
+                    place.append(np.arange(len(h), dtype=np.int32))
             h = np.concatenate([*keys, np.zeros(0, np.uint64)])
             order = np.argsort(h, kind="stable")
-            table = np.zeros(1 << self.BITS, bool)
-            table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            cat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])[order]
-            self.seeds.append((mask, table, h[order], cat(item), cat(place)))
+            shift = np.uint64(64 - min(self.BITS, (64 * len(h)).bit_length()))
+            table = np.zeros(1 << 64 - int(shift), bool)
+            table[(h >> shift).astype(np.int64)] = True
+            cat = lambda x: np.concatenate([*x, np.zeros(0, np.int32)])[order]
+            self.seeds.append((mask, shift, table, h[order], cat(item), cat(place)))
 
     def hits(self, words: np.ndarray):
         """(place among the words, item, place in the item) of each equal seed."""
-        for mask, table, keys, item, place in self.seeds:
+        for mask, bits, table, keys, item, place in self.seeds:
             h = seed_hashes(words, mask)
-            maybe = np.flatnonzero(table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(table[(h >> bits).astype(np.int64)])
             low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
             for at, a, b in zip(maybe[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
                 for k in range(a, b):
@@ -88,17 +100,21 @@ class SeedIndex:
                 lines[row, k].add(at - place)
         for (row, k), shifts in lines.items():
             best = None
+            item = self.items[k][1]
             for shift in sorted(shifts):
-                item = self.items[k][1]
                 a, b = max(0, int(first[row]) - shift), min(len(item), int(first[row + 1]) - shift)
                 start, end, equal = best_run(item[a:b] == words[shift + a : shift + b])
-                if best is None or equal > best[3]:
+                if accepted(equal, end - start, len(item)) and (best is None or equal > best[3]):
                     best = (shift + a + start - int(first[row]), a + start, end - start, equal)
-            n = len(self.items[k][1])
-            if best[3] >= min(WORDS, int(np.ceil(SHARE * n))) and best[3] >= IDENTITY * best[2]:
+            if best is not None:
                 yield (row, self.items[k][0], *best)
 
 
+def accepted(equal: int, length: int, words: int) -> bool:
+    """Whether a run of that length with so many equal words is an overlap with an item of so many words."""
+    return equal >= min(WORDS, int(np.ceil(SHARE * words))) and equal >= IDENTITY * length
+
+
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     """Start, end and matches of the run with the best sum of +1 for a match and -2 for a difference; ties go to the first."""
     best, total, start, out = 0, 0, 0, (0, 0)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from framelake.llm import op03_chat, op04_langid, op06_secrets, op09_decontaminate
 
@@ -110,6 +111,20 @@ def test_decontamination_against_brute_force(spark):
     assert op09_decontaminate.overlaps(df, bench.limit(0)).count() == 0 and op09_decontaminate.overlaps(empty_docs(spark), bench).count() == 0
 
 
+def test_decontamination_has_a_seed_for_each_accepted_overlap():
+    rng = random.Random(21)
+    for n in (*range(5, 14), 15, 18, 20, 40):
+        item = [f"w{k}" for k in range(n)]
+        index = op09_decontaminate.SeedIndex([n], [" ".join(item)])
+        patterns = range(1 << n) if n < 14 else (sum((rng.random() < 0.75) << k for k in range(n)) for _ in range(5000))
+        keep = [np.array([p >> k & 1 for k in range(n)], bool) for p in patterns]
+        runs = [op09_decontaminate.best_run(e) for e in keep]
+        want = [k for k, (a, b, m) in enumerate(runs) if m >= min(10, math.ceil(0.8 * n)) and m >= 0.7 * (b - a)]
+        texts = [" ".join(w if e else f"x{j}" for j, (w, e) in enumerate(zip(item, row))) for row in keep]
+        found = index.overlaps(*op09_decontaminate.hashed_words(pa.array(texts)))
+        assert sorted(row for row, *_ in found) == want and want, n
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 300, "user", None), (None, 1, "user", "x"), (2, 1, "system", "alone"), (1, 301, None, "who")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
