@@ -25,26 +25,24 @@ LENGTH = 200
 GRAM = 64
 #: Bytes of contexts whose suffix array is built at once; a gram's contexts stay together.
 CHUNK = 1 << 19
+#: Windows whose anchors are found at once; their grams' places have to fit in 24 bits.
+SLAB = 1 << 23
 #: Ways to deal out the rows of grams that a task has already seen twice.
 SALTS = 64
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each context: the hash of its gram, its first window, and its number of windows. data is below 16 MB."""
-    n, width = len(data), length - gram + 1
-    if n < length:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, slab: int = SLAB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each context: the hash of its gram, its first window, and its number of windows."""
+    windows = len(data) - length + 1
+    if windows <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n - gram + 1)
-    hashes = span_hashes(data, at, at + gram)
-    ranked = np.full(-(-len(at) // width) * width, ~np.uint64(0))
-    ranked[: len(at)] = hashes & ~np.uint64(0xFFFFFF) | at.astype(np.uint64)  # of equal ones the leftmost
-    blocks = ranked.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - length + 1
-    least = (np.minimum(right[:windows], left[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFFF)).astype(np.int64)
+    grams, least = np.empty(windows, np.uint64), np.empty(windows, np.int64)
+    for a in range(0, windows, slab):
+        b = min(windows, a + slab)
+        hashes, at = window_anchors(data[a : b + length - 1], length, gram)
+        grams[a:b], least[a:b] = hashes[at], at + a
     long = np.diff(offsets) >= length
-    inside = np.zeros(n + 1, np.int8)
+    inside = np.zeros(len(data) + 1, np.int8)
     inside[offsets[:-1][long]] = 1
     inside[offsets[1:][long] - length + 1] -= 1
     inside = np.cumsum(inside[:windows], dtype=np.int8) > 0
@@ -53,7 +51,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, windows))
     keep = inside[starts]
-    return hashes[least[starts[keep]]], starts[keep], sizes[keep]
+    return grams[starts[keep]], starts[keep], sizes[keep]
+
+
+def window_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and the place of each window's anchor. data is below 16 MB."""
+    n, width = len(data), length - gram + 1
+    at = np.arange(n - gram + 1)
+    hashes = span_hashes(data, at, at + gram)
+    ranked = np.full(-(-len(at) // width) * width, ~np.uint64(0))
+    ranked[: len(at)] = hashes & ~np.uint64(0xFFFFFF) | at.astype(np.uint64)  # of equal ones the leftmost
+    blocks = ranked.reshape(-1, width)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = n - length + 1
+    return hashes, (np.minimum(right[:windows], left[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:

@@ -38,6 +38,21 @@ def test_against_brute_force(spark):
     assert op.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_row_over_16_mb(spark):
+    big = np.random.default_rng(4).integers(97, 123, 17_500_000).astype(np.uint8).tobytes().decode()
+    passage = big[17_000_000:17_000_600]
+    rows = [(1, big), (2, "A" + passage + "B"), (3, big[16_777_100:16_777_500])]
+    got = op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(1, 17_500_000, 1000, 2), (2, 602, 600, 1), (3, 400, 400, 1)]
+
+
+def test_anchors_do_not_depend_on_slabs():
+    rng = np.random.default_rng(6)
+    data, offsets = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 900, 1000, 4000, 5000])
+    whole = op.anchors(data, offsets)
+    assert all((a == b).all() for slab in (1, 137, 1000) for a, b in zip(op.anchors(data, offsets, slab=slab), whole, strict=True))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for size, letters in ((1, 1), (50, 1), (400, 2), (3000, 3), (3000, 26)):
