@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -31,6 +32,8 @@ TEMPLATES = {
 RARE = 12
 #: Words by which parts of one passage may be shifted against each other.
 SHIFT = 4
+#: Words (clauses that a template leaves out) that may stand between two key phrases besides its own.
+GAP = 60
 COVERAGE = 0.7
 
 #: Bytes of words to themselves, A-Z in lower case, all others to a space.
@@ -90,13 +93,56 @@ class RareWordIndex:
                 share = (Counter(part) & Counter(template)).total() / len(template)
                 if share >= max(COVERAGE, scores.get(label, 0)) and all(_stands(key, part) for key in keys):
                     scores[label] = min(1.0, share)
+            if label not in scores and len(keys) > 1 and 2 * sum(n for _, n in found) >= self.posted[k]:
+                share = self.chained(k, words)
+                if share >= COVERAGE:
+                    scores[label] = share
         return starts, scores, base
 
+    def chained(self, k: int, words: list[bytes]) -> float:
+        """The best share of a template's words that stand in order in an extent where its key phrases follow each other.
+
+        An extent that holds a key phrase of another template, and this template does not, is that licence's.
+        """
+        template, _, keys = self.entries[k]
+        if not all(_stands(key, words) for key in keys):
+            return 0.0
+        own = [_places(key, template)[0] for key in keys]
+        found = [_places(key, words) for key in keys]
+        foreign = [key for _, _, others in self.entries for key in others or () if not _stands(key, template)]
+        best = 0.0
+        for first in found[0]:
+            last = first
+            for places, before, after in zip(found[1:], own, own[1:]):
+                near = bisect_left(places, last + after - before - SHIFT)
+                if near == len(places) or places[near] > last + after - before + GAP:
+                    break
+                last = places[near]
+            else:
+                low, high = max(0, first - own[0]), last + len(template) - own[-1]
+                if not any(_stands(key, words[low:high]) for key in foreign):
+                    best = max(best, _in_order(template, words[max(0, low - SHIFT) : high + SHIFT]) / len(template))
+        return best
+
 
 def _stands(key: list[bytes], words: list[bytes]) -> bool:
     return b" " + b" ".join(key) + b" " in b" " + b" ".join(words) + b" "
 
 
+def _places(key: list[bytes], words: list[bytes]) -> list[int]:
+    return [at for at, word in enumerate(words) if word == key[0] and words[at : at + len(key)] == key]
+
+
+def _in_order(a: list[bytes], b: list[bytes]) -> int:
+    """Words of the longest common subsequence."""
+    row = [0] * (len(a) + 1)
+    for word in b:
+        before = 0
+        for j, other in enumerate(a, 1):
+            before, row[j] = row[j], before + 1 if word == other else max(row[j], row[j - 1])
+    return row[-1]
+
+
 @lru_cache(maxsize=1)
 def default_index() -> RareWordIndex:
     return RareWordIndex(PHRASES, TEMPLATES)

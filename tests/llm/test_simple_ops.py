@@ -43,6 +43,45 @@ def test_licence_template_needs_its_key_phrase():
     assert "isc" not in index.scan(text.replace("with or without fee", "with no fee").encode().split())[1]
 
 
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+   disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """
+3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+"""
+
+
+def test_verbatim_bsd_licences():
+    def labels(text):
+        return set(op01_license.default_index().scan(lower(text).encode().translate(op01_license.TO_WORDS).split())[1])
+
+    two, three = BSD.format(""), BSD.format(THIRD.format("the copyright holder"))
+    assert labels(two) == {"bsd-2-clause"} and labels(three) == {"bsd-3-clause"}
+    assert labels(BSD.format(THIRD.format("the Pallets project team and its many friends"))) == {"bsd-3-clause"}
+    assert labels("x " * 99 + two + "y " * 500 + three) == {"bsd-2-clause", "bsd-3-clause"}
+    assert labels(two.replace("Redistributions", "Copies").replace("Redistribution and", "The")) == set()
+    head, tail = two.split("1. Redistributions")
+    assert labels(head + "other words " * 40 + "1. Redistributions" + tail) == set()
+
+
 def tokens(path, text, end):
     from tokenizers import Tokenizer
 
