@@ -133,8 +133,7 @@ class UnigramModel:
                 some = rows[a : a + 4096]
                 if length > PART:
                     for i in some:
-                        parts = [MARK + words[i][:PART], *(words[i][k : k + PART] for k in range(PART, length, PART))]
-                        out[i] = sum(self._raw([p])[0] for p in parts)
+                        out[i] = sum(self._raw([p])[0] for p in parts(words[i]))
                 else:
                     out[some] = self._raw([MARK + words[i] for i in some])
         return out
@@ -144,30 +143,37 @@ class UnigramModel:
         return np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
 
 
+def parts(word: str) -> list[str]:
+    """A word with its mark, cut where it is longer than PART."""
+    return [MARK + word[:PART], *(word[k : k + PART] for k in range(PART, len(word), PART))]
+
+
 def code_points(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
 def expected_counts(table: PieceTable, probs: np.ndarray, counts: Counter) -> np.ndarray:
-    """Forward-backward over distinct words: how often each piece is used, in expectation, in one language."""
+    """Forward-backward over the parts of distinct words: how often each piece is used, in expectation, in one language."""
     model = UnigramModel(table, [""], probs[:, None])
     out = np.zeros(len(probs))
+    cut: Counter = Counter()
+    for w, n in counts.items():
+        for part in parts(w):
+            cut[part] += n
     by_length: dict[int, list[str]] = {}
-    for w in counts:
+    for w in cut:
         by_length.setdefault(len(w), []).append(w)
     for length, words in by_length.items():
-        if length > PART:
-            continue
         for a in range(0, len(words), 4096):
             some = words[a : a + 4096]
-            alpha, scale, spans = model.forward(code_points([MARK + w for w in some]))
-            weight = np.array([counts[w] for w in some], float)
-            beta = np.zeros((length + 2, len(some)))
+            alpha, scale, spans = model.forward(code_points(some))
+            weight = np.array([cut[w] for w in some], float)
+            beta = np.zeros((length + 1, len(some)))
             beta[-1] = 1 / alpha[-1, :, 0]
             covered = {(s, e): w for s, e, w in spans}
-            for start in range(length, -1, -1):
+            for start in range(length - 1, -1, -1):
                 total = np.zeros(len(some))
-                for end in range(start + 1, min(length + 1, start + PIECE) + 1):
+                for end in range(start + 1, min(length, start + PIECE) + 1):
                     which = covered.get((start, end))
                     p = probs[which] if which is not None else np.zeros(len(some))
                     if end == start + 1:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from framelake.llm import op03_chat, op04_langid, op06_secrets, op09_decontaminate
+from framelake.llm import op02_packing, op03_chat, op04_langid, op06_secrets, op09_decontaminate
 
 from .fixtures import clashing, empty_docs, odd_docs, words
 
@@ -59,6 +59,18 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(model.score(["zu" * 5000])).all()
 
 
+def test_training_on_words_over_the_part_size():
+    rng = random.Random(12)
+    run = lambda syllables, n: "".join(rng.choice(syllables) for _ in range(n))
+    kinds = {"a1": ["the", "and", "ing", "er"], "b2": ["sch", "ung", "ich", "au"], "c3": ["的", "是", "不", "我"]}
+    samples = [(name, " ".join(run(kind, 60) for _ in range(5))) for name, kind in kinds.items()]
+    model = op04_langid.fit(samples, op02_packing.vocabulary("piece_bpe_32k.model"))
+    assert all(len(w) > op04_langid.PART for _, text in samples for w in text.split())
+    for size in (10, 200):
+        found = model.score([run(kind, size) for kind in kinds.values()]).argmax(1)
+        assert [model.languages[k] for k in found] == list(kinds)
+
+
 def test_secrets(spark):
     findings = op06_secrets.labelled_findings(3000, seed=99)
     forest = op06_secrets.default_forest()
