@@ -28,6 +28,8 @@ FINDINGS = 6000
 
 GOOD_WORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "access", "private", "pwd", "client_secret")
 BAD_WORDS = ("sha", "sha1", "sha256", "md5", "hash", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "example", "sample", "dummy", "placeholder", "integrity", "version", "id", "isbn", "path", "file", "url", "image")
+#: What a name with a credential word is set to, in quotes or up to white space, whatever its length and characters.
+ASSIGNED = re.compile(r"(?:" + "|".join(GOOD_WORDS) + r""")\w{0,64}["'`]?[ \t]*(?:=>|:=|=|:)[ \t]*(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|([^\s"'`,;({\[<]*[({\[<][^\s"'`,;]*[^\s"'`,;.]|[^\s"'`,;]*[^\s"'`,;.)\]}>]))""", re.IGNORECASE)
 NEAR_WORDS = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 
 
@@ -98,14 +100,21 @@ def features(before: str, value: str, after: str) -> list[float]:
 
 
 def candidates(text: str):
-    """(start, end, features) of each candidate; one without a digit or a change of case is none unless it is long and rich."""
+    """(start, end, features) of each candidate, in order; they may overlap.
+
+    What is assigned to a credential word always is one. Other runs without a digit or a change of case are none, nor
+    are those of less than six characters' kinds.
+    """
+    spans = {m.span(m.lastindex) for m in ASSIGNED.finditer(text)} if "=" in text or ":" in text else set()
     for m in CANDIDATE.finditer(text):
         value = m[0]
         if value.isalpha() and (value.islower() or value.isupper() or value[1:].islower()):
             continue
         if len(set(value)) < 6:
             continue
-        yield m.start(), m.end(), features(text[max(0, m.start() - AROUND) : m.start()], value[:400], text[m.end() : m.end() + AROUND])
+        spans.add(m.span())
+    for a, b in sorted(spans):
+        yield a, b, features(text[max(0, a - AROUND) : a], text[a : min(b, a + 400)], text[b : b + AROUND])
 
 
 class Forest:
@@ -167,8 +176,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
     prose = lambda: " ".join(rng.choice(words) for _ in range(4))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    mixed = alnum + "!@#$%^&*?+-_.~"
+    leet = lambda word: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.5 else c for c in word)
     out = []
     while len(out) < n:
+        if len(out) % 6 == 4:  # passwords, and what else is assigned to a credential word
+            mark, digits = rng.choice("!@#$%^&*?+-_."), pick(string.digits, rng.randint(1, 4))
+            value = rng.choice([lambda: pick(mixed, rng.randint(6, 24)), lambda: leet(rng.choice(words)).capitalize() + mark + digits + rng.choice(["", "!"]), lambda: rng.choice(words) + rng.choice(words) + digits, lambda: rng.choice(words).capitalize() + rng.choice([digits + mark, mark + digits]), lambda: mark.join(rng.choice(words) for _ in range(3)) + digits, lambda: pick(string.ascii_lowercase, rng.randint(8, 32)), lambda: pick(string.ascii_uppercase, rng.randint(16, 32))])()
+            name, quote = rng.choice(GOOD_WORDS), rng.choice(['"', "'", ""])
+            before = f"{prose()} {rng.choice(['', 'my_', 'API_', 'db_'])}{name}"
+            out.append((before + rng.choice([" = ", "=", ": ", '": ']) + quote, value, quote + rng.choice([" ", "\n", ";"]) + prose(), True))
+            value = rng.choice([lambda: rng.choice(words), lambda: rng.choice(words).capitalize(), lambda: rng.choice(["None", "null", "true", "false", "nil", "undefined", "required", "optional", "string", "str", "int", "bytes"]), lambda: rng.choice(["os.environ[", "getenv(", "self.", "config.", "request.", "args.", "settings.get("]) + rng.choice(words), lambda: rng.choice(["${%s}", "{{%s}}", "<%s>", "$%s", "%%(%s)s", "{%s}"]) % rng.choice([str.lower, str.upper])(rng.choice(["", "db_", "my_"]) + rng.choice([rng.choice(words), rng.choice(GOOD_WORDS)])), lambda: rng.choice("*x.X0-") * rng.randint(1, 14), lambda: rng.choice(["your", "my", "the", "new", "user"]) + rng.choice("-_ ") + rng.choice(GOOD_WORDS), lambda: rng.choice(["changeme", "example", "placeholder", "secret", "password", "test", "dummy", "todo"]), lambda: pick(string.digits, rng.randint(1, 3)), lambda: prose(), lambda: "/" + "/".join(rng.choice(words) for _ in range(2)), lambda: rng.choice(words) + "_" + rng.choice(words)])()
+            quote = rng.choice(['"', "'"]) if " " in value or rng.random() < 0.3 else ""
+            out.append((before + rng.choice([" = ", "=", ": ", '": ']) + quote, value, quote + rng.choice([" ", "\n", ";"]) + prose(), False))
+            continue
         value = rng.choice([lambda: pick(hexa, rng.choice([32, 40, 64])), lambda: pick(alnum, rng.randint(20, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum + "+/", rng.choice([40, 64])) + "=", lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "eyJ" + pick(alnum + "-_", rng.randint(40, 120))])()
         name, quote = rng.choice(GOOD_WORDS), rng.choice(['"', "'", ""])
         out.append((f"{prose()} {rng.choice(['', 'my_', 'API_', 'db_'])}{name}{rng.choice([' = ', '=', ': ', '\": '])}{quote}", value, quote + rng.choice([" ", "\n", ";"]) + prose(), True))
@@ -215,7 +236,7 @@ def scan_text(text: str, forest: Forest) -> list[tuple[int, int, float]]:
 
 
 def findings(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each candidate: doc_id, start and length in characters, value_sha256, score, is_secret.
+    """One row for each candidate (they may overlap): doc_id, start and length in characters, value_sha256, score, is_secret.
 
     score is the forest's vote; forest may be fitted on findings of one's own. A null or empty text has no candidate; a
     null doc_id is kept; repeated rows each give their rows; other columns are not read; an empty table gives no rows.
@@ -237,6 +258,17 @@ def findings(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_i
     return named(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, value_sha256 string, score double, is_secret boolean")
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def redact(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """docs with each secret in text replaced by mark and n_chars, if there, counted anew for the changed texts."""
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
@@ -248,7 +280,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]"
             for k, text in enumerate(texts):
                 spans = [(a, b) for a, b, score in scan_text(text or "", shared.value) if score >= threshold]
                 if spans:
-                    for a, b in reversed(spans):
+                    for a, b in reversed(joined(spans)):
                         text = text[:a] + mark + text[b:]
                     texts[k] = text
                     if sizes:

@@ -90,6 +90,22 @@ def test_secrets(spark):
     assert op06_secrets.findings(empty_docs(spark)).count() == 0
 
 
+def test_short_and_punctuated_secrets(spark):
+    values = ["Tr0ub4dor&3!", "hunter2!", "kW9#pL2$vX", "a+b/16charsandmore#x9Q!", "zqxvkwpjhgfmtrbn", "S3cr3t.P4ss?"]
+    forms = ['password = "{}"', "db_passwd: '{}'", 'say "pwd": "{}", there', "export PASSWORD={}\n"]
+    texts = [form.format(v) for v in values for form in forms]
+    plain = ["the key: always be kind", "password: required", "password = None", 'token = ""', "secret: ${DB_SECRET}", "no secrets here"]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op06_secrets.redact(docs).collect()}
+    assert [clean[k] for k in range(len(texts))] == [form.format("[SECRET]") for _ in values for form in forms]
+    assert [clean[len(texts) + k] for k in range(len(plain))] == plain
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in op06_secrets.findings(docs).collect() if r.is_secret}
+    assert found >= {(k, values[k // len(forms)]) for k in range(len(texts))}
+    findings = op06_secrets.labelled_findings(3000, seed=98)
+    short = [f for f in findings if op06_secrets.ASSIGNED.search(f[0] + f[1] + f[2])]
+    assert any(y and len(v) < 16 for _, v, _, y in short) and any(not y and len(v) < 16 for _, v, _, y in short)
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(8)
     items = [(k, words(rng, n)) for k, n in enumerate((40, 30, 13, 6, 4, 60))] + [(9, None), (10, "")]
