@@ -7,6 +7,7 @@ the shared folder and reads it again, so that a lost executor costs at most one
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.llm import common, op02_packing, op04_langid, op06_secrets, op08_minhash, op09_decontaminate
 
@@ -18,11 +19,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id."""
+    """One document of each group of near-duplicates, the one with the least doc_id (those without one come last).
+
+    Rows of one doc_id, or without one, are told apart by their texts; of equal ones with words, one is kept.
+    """
     common.tune(spark)
-    kept = op08_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionAll(docs.where("doc_id is null"))
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not odd.limit(1).count():
+        kept = op08_minhash.near_duplicates(docs).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = op08_minhash.near_duplicates(rows.select("__key", "text").distinct(), "__key").select(F.col("doc_id").alias("__key"), "component_id", "n_shingles")
+    ids = rows.select("__key", "doc_id").distinct().join(found, "__key")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("r"), F.max("n_shingles").alias("n"))
+    kept = common.cut(least.select(F.col("r.__key").alias("__key"), "n"))
+    some = rows.join(kept.where("n > 0"), "__key", "left_semi").dropDuplicates(["__key"])
+    wordless = rows.join(kept.where("n = 0"), "__key", "left_semi")
+    return some.select(*docs.columns).unionAll(wordless.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

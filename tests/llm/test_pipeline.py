@@ -27,3 +27,13 @@ def test_stages(spark, tmp_path):
     assert ids["secret_scan"] == ids["decontamination"] == ids["packing"]
     assert any("[SECRET]" in r.text for r in seen["secret_scan"]) and not any("24be6443" in r.text for r in seen["secret_scan"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_one_document_of_each_group_without_good_ids(spark):
+    rng = random.Random(16)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(7, a), (7, a), (3, a + " end"), (None, a), (None, b), (None, b), (None, b + " end"), (4, c), (4, d), (None, d), (9, ""), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted((x for x in got if x[1] not in (b, b + " end")), key=repr) == sorted([(3, a + " end"), (4, c), (4, d), *rows[10:]], key=repr)
+    assert len(got) == 8 and len([x for x in got if x[1] in (b, b + " end")]) == 1
