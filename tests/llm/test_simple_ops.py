@@ -2,6 +2,9 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+import pytest
+
 from framelake.llm import op01_license, op02_packing, op05_wavelet, op10_mpeg
 
 from .fixtures import clashing, empty_docs, odd_docs
@@ -138,7 +141,8 @@ def test_first_fit_decreasing():
 def test_token_shards(spark, tmp_path):
     df, rows = odd_docs(spark)
     path = op02_packing.vocabulary("byte_bpe_50k.json")
-    shards = op05_wavelet.write_shards(clashing(df), f"file://{tmp_path}/shards").collect()
+    shards = op05_wavelet.write_shards(clashing(df), f"file://{tmp_path}/shards", shard_ids=9000).collect()
+    assert len({r.path for r in shards}) == len({r.shard for r in shards}) == len(shards)
     got = op05_wavelet.read_shards(spark.createDataFrame(shards), with_ids=True).collect()
     got.sort(key=lambda r: r.start)
     start, want = 0, []
@@ -147,13 +151,23 @@ def test_token_shards(spark, tmp_path):
         want.append((i, start, len(ids), crc(ids), ids))
         start += len(ids)
     assert [tuple(r) for r in got] == want
-    matrix, doc_ids, ends = op05_wavelet.read_shard(op05_wavelet.fetch(shards[-1]["path"]))
+    largest = max(shards, key=lambda r: r.n_tokens)
+    matrix, doc_ids, ends = op05_wavelet.open_shard(op05_wavelet.open_file(largest.path))
     ids = matrix.decode().tolist()
     assert ends[-1] == len(ids)
     for value in {ids[0], ids[-1], 2, 50256}:
         places = [k for k, x in enumerate(ids) if x == value]
         assert matrix.occurrences(value) == places and matrix.rank(value, 700) == sum(p < 700 for p in places)
     assert [matrix.access(k) for k in range(0, len(ids), 97)] == ids[::97]
+    many = np.random.default_rng(3).integers(0, 50257, 3 * op05_wavelet.BLOCK + 11)
+    data, loaded = op05_wavelet.WaveletMatrix.build(many).to_bytes([1], np.array([len(many)])), []
+    matrix = op05_wavelet.open_shard(data)[0]
+    load = matrix._load
+    matrix._load = lambda *block: loaded.append(block) or load(*block)
+    assert matrix.access(40_000) == many[40_000] and len(loaded) <= 2 * matrix.depth
+    assert (matrix.decode() == many).all() and matrix.occurrences(int(many[7])) == np.flatnonzero(many == many[7]).tolist()
+    with pytest.raises(IndexError):
+        matrix.access(len(many))
     empty = op05_wavelet.write_shards(empty_docs(spark), f"file://{tmp_path}/none")
     assert op05_wavelet.read_shards(empty).count() == 0
 
