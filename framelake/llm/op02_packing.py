@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, named, text_slices
+from .common import cut, documents, named, text_slices
 from .tokens import WORD_LEVEL, encoder
 
 LENGTH = 2048
+#: Documents, and bytes of text, that make a group; a longer document's pieces go on to the next groups.
 GROUP = 4096
+GROUP_BYTES = 1 << 25
+SPREAD = 256
 END_ID = 1
 
 
@@ -66,7 +69,10 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Tokenises each document and cuts it into whole sequences and one rest: doc_id, start, length, ids_crc32, doc_tokens[, ids]."""
+    """Tokenises each document and cuts it into whole sequences and one rest: g, doc_id, start, length, ids_crc32, doc_tokens[, ids].
+
+    docs are doc_id, text and g, which each piece keeps.
+    """
 
     def run(batches):
         coder = encoder(path, WORD_LEVEL)
@@ -82,37 +88,43 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
                 first = offsets[row] + start
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * (a + b)]) for a, b in zip(first.tolist(), size.tolist())]
-                columns = [part.column(0).take(pa.array(row)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(count[row])]
+                take = pa.array(row)
+                columns = [part.column(2).take(take), part.column(0).take(take), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(count[row])]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids.astype(np.int32))))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["g", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+
+    return docs.mapInArrow(run, "g long, " + PIECE + ", ids array<int>" * with_ids)
+
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(run, schema)
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group: int = GROUP, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """Packs documents into sequences of at most length ids.
 
-    A document's ids are cut every length ids, so all but its last piece fill a sequence; the rests are packed first-fit
-    decreasing in about count/group random groups, each of which one task packs alone. Groups are drawn by row, not by
-    a column, so neither a hot key nor repeated rows make one large. A null or empty text is the end id alone; a null
+    A document's ids are cut every length ids, so all but its last piece fill a sequence; each random group of documents
+    is packed first-fit decreasing by one task alone. Groups are drawn for rows, not by a column, so neither a hot key
+    nor repeated rows make one large; there are enough for about group documents and 32 MB of text in each, and a
+    document of more than 256 pieces goes on in the next groups, so a group's pieces are bounded. The draw is written
+    down before it is used: a task that runs again deals rows as before. A null or empty text is the end id alone; a null
     doc_id is kept; other columns are not read; an empty table gives no rows. with_ids adds the ids of each piece.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id (group * 2**32 + bin), offset.
     """
     docs = named(docs, id_col, text_col)
-    groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, path or vocabulary("word_bpe_49k.json"), length, end_id, with_ids)
-    cut = cut.withColumn("g", F.floor(F.rand(seed) * groups).cast("long"))
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-rows // group), -(-(size or 0) // GROUP_BYTES))
+    drawn = docs.withColumn("g", F.floor(F.rand(seed) * groups).cast("long"))
+    found = pieces(drawn, path or vocabulary("word_bpe_49k.json"), length, end_id, with_ids)
+    found = cut(found.withColumn("g", F.expr(f"pmod(g + start div {length * SPREAD}, {groups})")))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), length)
         table = table.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
         return table.append_column("offset", pa.array(offsets)).drop_columns(["g"])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return cut.groupBy("g").applyInArrow(run, schema)
+    schema = PIECE + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
+    return found.groupBy("g").applyInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
