@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents, span_hashes, text_bytes, text_slices
+from .common import cut, documents, named, span_hashes, text_bytes, text_slices
 
 LENGTH = 200
 GRAM = 64
@@ -180,8 +180,12 @@ def repeated_windows(contexts: list[bytes], counts: np.ndarray, length: int = LE
     return [(int(owner[a]), int(a - starts[owner[a]]), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
 
 
+#: Anchors that a task compares with each other at once.
+FLUSH = 1 << 21
+
+
 def _anchor_rows(batches):
-    grams, rows = [], []
+    grams, rows, held = [], [], 0
     for batch in batches:
         for part in text_slices(batch, 2):
             data, offsets = text_bytes(part.column(2))
@@ -189,9 +193,16 @@ def _anchor_rows(batches):
             row = np.searchsorted(offsets, start, side="right") - 1
             grams.append(gram.view(np.int64))
             rows.append((part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), (start - offsets[row]).astype(np.int32), size.astype(np.int32)))
-    if not rows:
-        return
-    # what this task has seen twice is known to be repeated: only one row of it counts any further
+            held += len(gram)
+            if held >= FLUSH:
+                yield from _salted(grams, rows)
+                grams, rows, held = [], [], 0
+    if rows:
+        yield from _salted(grams, rows)
+
+
+def _salted(grams, rows):
+    """The anchors with a salt: what these have twice is known to be repeated, and only one row of it counts any further."""
     _, inverse, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     known = count[inverse] > 1
     first = np.zeros(len(known), bool)
@@ -299,9 +310,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_id is kept; equal rows are two documents, each repeated in the other, and give equal rows; other columns are not
     read; an empty table gives no rows.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    text = text.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "text")
-    rows = text.mapInArrow(_anchor_rows, "key long, doc_id long, gram long, start int, size int, known boolean, salt int")
+    text = named(docs, id_col, text_col)
+    # a null id is told from 0 by the key
+    text = text.select(F.xxhash64("doc_id", F.isnull("doc_id"), "text").alias("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    rows = text.select("key", "doc_id", "text").mapInArrow(_anchor_rows, "key long, doc_id long, gram long, start int, size int, known boolean, salt int")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("gram", "salt"))).where("known or n > 1")
     found = cut(rows.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "start", "size")).alias("anchors")))
     places = text.join(found.hint("shuffle_hash"), ["key", "doc_id"]).select("key", "doc_id", "text", "anchors")
@@ -310,9 +322,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     where = places.mapInArrow(_context_rows(False), "gram long, context long, key long, doc_id long, start long")
     hits = where.join(runs, ["gram", "context"]).select("key", "doc_id", F.struct((F.col("start") + F.col("first")).alias("a"), F.col("windows").alias("n")).alias("span"))
     spans = hits.groupBy("key", "doc_id").agg(F.collect_set("span").alias("spans"))
-    out = text.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left").select("key", "doc_id", "text", "spans")
-    out = out.mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
-    return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {-(1 << 62)})"))
+    out = text.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left").select("key", "id", "text", "spans")
+    return out.mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
