@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from .common import documents, named, text_slices
 from .op02_packing import vocabulary
 
-#: Labelled documents that a model is fitted on, drawn by a hash of the id; the bound of the sample.
+#: Labelled documents, and bytes of their texts, that a model is fitted on, drawn by a hash of the id: the bounds of the sample.
 TRAIN_DOCS = 3000
-#: Distinct words a language is fitted on, the most frequent ones of that sample.
-TRAIN_WORDS = 40_000
+TRAIN_BYTES = 64 << 20
 ROUNDS = 3
-#: Characters of the longest piece used, and of the longest word scored in one go; longer words go in parts.
-PIECE = 12
-PART = 48
+#: Characters of a word that are fitted in one go; all parts of longer words count. Scores sum over whole words.
+PART = 1024
+#: Places whose pieces are looked up at once, and characters of the words that are scored at once.
+STRIP, CELLS = 4096, 1 << 17
+#: Words above so many characters are scored with a scale for each language, and words of unequal lengths together.
+LONG = 48
 #: Words kept by a worker with their scores.
 CACHE = 200_000
 MARK = "▁"
@@ -38,6 +40,7 @@ class PieceTable:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         keys = np.array([self.key(p) for p in pieces], np.uint64)
         self.keys, self.values = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
         self.probes = 1
@@ -73,19 +76,23 @@ class PieceTable:
         return out
 
 
-def lattice(codes: np.ndarray, table: PieceTable) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, piece of each word or -1) for all spans of words of one length, given as a matrix of code points."""
-    n, length = codes.shape
-    spans = []
+def lattice(codes: np.ndarray, table: PieceTable, low: int, high: int) -> list[list[tuple[int, np.ndarray]]]:
+    """For each end in (low, high] of words given as a matrix of code points: (size, piece of each word or -1) of all spans.
+
+    Behind a shorter word's end stand zeros, which no piece covers.
+    """
+    begin = max(0, low + 1 - table.longest)
+    codes = codes[:, begin:high]
+    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(high - low)]
     with np.errstate(over="ignore"):
-        keys = np.zeros((n, length), np.uint64)
-        for size in range(1, min(PIECE, length) + 1):
-            keys = keys[:, : length - size + 1] * table.BASE + codes[:, size - 1 :] + np.uint64(1)
+        keys = np.zeros(codes.shape, np.uint64)
+        for size in range(1, min(table.longest, codes.shape[1]) + 1):
+            keys = keys[:, : codes.shape[1] - size + 1] * table.BASE + codes[:, size - 1 :] + np.uint64(1)
             found = table.find(keys.ravel()).reshape(keys.shape)
             for start in np.flatnonzero((found >= 0).any(0)).tolist():
-                spans.append((start, start + size, found[:, start]))
-    spans.sort(key=lambda s: (s[1], s[0]))
-    return spans
+                if (end := begin + start + size) > low:
+                    out[end - low - 1].append((size, found[:, start]))
+    return out
 
 
 class UnigramModel:
@@ -94,53 +101,62 @@ class UnigramModel:
     def __init__(self, table: PieceTable, languages: list[str], probs: np.ndarray):
         self.table, self.languages, self.probs = table, languages, probs
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """alpha[place, word, language], scaled at each place, the logarithms of the scales, and the lattice."""
+    def forward(self, codes: np.ndarray, keep: bool = False):
+        """(end, alpha[word, language] over scale, log scale) for each place of the words, from 0 on; alpha is not kept longer than pieces reach."""
         n, length = codes.shape
-        spans = lattice(codes, self.table)
-        alpha = np.zeros((length + 1, n, len(self.languages)))
-        alpha[0] = 1
-        scale = np.zeros((length + 1, n))
-        k = 0
-        for end in range(1, length + 1):
-            total = np.zeros_like(alpha[0])
-            single = False
-            while k < len(spans) and spans[k][1] == end:
-                start, _, which = spans[k]
-                part = alpha[start] * self.probs[which]
-                if start < end - 1:
-                    part *= np.exp(scale[start] - scale[end - 1])[:, None]
-                else:
-                    part += alpha[start] * (which < 0)[:, None] * UNKNOWN
-                    single = True
-                total += part
-                k += 1
-            if not single:
-                total += alpha[end - 1] * UNKNOWN
-            top = total.max(1)
-            alpha[end] = total / top[:, None]
-            scale[end] = scale[end - 1] + np.log(top)
-        return alpha, scale, spans
+        alpha = [np.ones((n, len(self.languages)))]
+        apart = length > LONG  # a scale for each language
+        scale = [np.zeros((n, len(self.languages) if apart else 1))]
+        yield 0, alpha[0], scale[0]
+        for low in range(0, length, STRIP):
+            for end, spans in enumerate(lattice(codes, self.table, low, min(length, low + STRIP)), low + 1):
+                total, single = 0.0, False
+                for size, which in reversed(spans):
+                    part = alpha[end - size] * self.probs[which]
+                    if size > 1:
+                        part *= np.exp(scale[end - size] - scale[end - 1])
+                    else:
+                        part += alpha[end - 1] * (which < 0)[:, None] * UNKNOWN
+                        single = True
+                    total = total + part
+                if not single:
+                    total = total + alpha[end - 1] * UNKNOWN
+                top = total if apart else total.max(1, keepdims=True)
+                alpha.append(total / top)
+                scale.append(scale[end - 1] + np.log(top))
+                yield end, alpha[end], scale[end]
+                if not keep and end >= self.table.longest:
+                    alpha[end - self.table.longest] = scale[end - self.table.longest] = None
 
     def score(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), summed over segmentations; one row for each word."""
+        """log P(word | language), summed over all segmentations of the whole word; one row for each word."""
         out = np.empty((len(words), len(self.languages)))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        for length, rows in by_length.items():
+        for length in [k for k in by_length if k <= LONG]:
+            rows = by_length[length]
             for a in range(0, len(rows), 4096):
-                some = rows[a : a + 4096]
-                if length > PART:
-                    for i in some:
-                        out[i] = sum(self._raw([p])[0] for p in parts(words[i]))
-                else:
-                    out[some] = self._raw([MARK + words[i] for i in some])
+                self._score([MARK + words[i] for i in rows[a : a + 4096]], rows[a : a + 4096], out)
+        some, cells = [], 0
+        for length in sorted(k for k in by_length if k > LONG):
+            for i in by_length[length]:
+                if some and (cells + length > CELLS or length > 2 * len(words[some[0]])):
+                    self._score([MARK + words[j] for j in some], some, out)
+                    some, cells = [], 0
+                some.append(i)
+                cells += length
+        if some:
+            self._score([MARK + words[j] for j in some], some, out)
         return out
 
-    def _raw(self, words: list[str]) -> np.ndarray:
-        alpha, scale, _ = self.forward(code_points(words))
-        return np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1][:, None]
+    def _score(self, words: list[str], rows: list[int], out: np.ndarray) -> None:
+        rows, sizes = np.array(rows), np.array([len(w) for w in words])
+        ends = set(sizes.tolist())
+        for end, alpha, scale in self.forward(code_points(words)):
+            if end in ends:
+                done = sizes == end
+                out[rows[done]] = (np.log(np.maximum(alpha, 1e-300)) + scale)[done]
 
 
 def parts(word: str) -> list[str]:
@@ -149,7 +165,8 @@ def parts(word: str) -> list[str]:
 
 
 def code_points(words: list[str]) -> np.ndarray:
-    return np.array(words, dtype=f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+    width = max(map(len, words))
+    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
 def expected_counts(table: PieceTable, probs: np.ndarray, counts: Counter) -> np.ndarray:
@@ -164,28 +181,28 @@ def expected_counts(table: PieceTable, probs: np.ndarray, counts: Counter) -> np
     for w in cut:
         by_length.setdefault(len(w), []).append(w)
     for length, words in by_length.items():
-        for a in range(0, len(words), 4096):
-            some = words[a : a + 4096]
-            alpha, scale, spans = model.forward(code_points(some))
+        step = max(1, min(4096, CELLS // length))
+        for a in range(0, len(words), step):
+            some = words[a : a + step]
+            codes = code_points(some)
+            _, alpha, scale = zip(*((e, x[:, 0], s[:, 0]) for e, x, s in model.forward(codes, keep=True)))
             weight = np.array([cut[w] for w in some], float)
-            beta = np.zeros((length + 1, len(some)))
-            beta[-1] = 1 / alpha[-1, :, 0]
-            covered = {(s, e): w for s, e, w in spans}
-            for start in range(length - 1, -1, -1):
-                total = np.zeros(len(some))
-                for end in range(start + 1, min(length, start + PIECE) + 1):
-                    which = covered.get((start, end))
-                    p = probs[which] if which is not None else np.zeros(len(some))
-                    if end == start + 1:
-                        p = p + UNKNOWN * ((which < 0) if which is not None else 1)
-                    elif which is None:
-                        continue
-                    flow = p * beta[end] * np.exp(scale[start] - scale[end])
-                    total += flow
-                    if which is not None:
-                        hit = which >= 0
-                        out += np.bincount(which[hit], (alpha[start, :, 0] * flow * weight)[hit], len(out))
-                beta[start] = total
+            spans = lattice(codes, table, 0, length)
+            beta = [np.zeros(len(some)) for _ in range(length + 1)]
+            beta[-1] = 1 / alpha[-1]
+            for end in range(length, 0, -1):
+                single = False
+                for size, which in spans[end - 1]:
+                    p = probs[which]
+                    if size == 1:
+                        p = p + UNKNOWN * (which < 0)
+                        single = True
+                    flow = p * beta[end] * np.exp(scale[end - size] - scale[end])
+                    beta[end - size] += flow
+                    hit = which >= 0
+                    out += np.bincount(which[hit], (alpha[end - size] * flow * weight)[hit], len(out))
+                if not single:
+                    beta[end - 1] += UNKNOWN * beta[end] * np.exp(scale[end - 1] - scale[end])
     return out
 
 
@@ -194,7 +211,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k))]
-    return [p for p in dict.fromkeys(pieces) if len(p) <= PIECE and MARK not in p[1:]]
+    return [p for p in dict.fromkeys(pieces) if MARK not in p[1:]]  # words are scored apart
 
 
 def fit(samples: list[tuple[str, str]], path: str, rounds: int = ROUNDS) -> UnigramModel:
@@ -206,7 +223,7 @@ def fit(samples: list[tuple[str, str]], path: str, rounds: int = ROUNDS) -> Unig
     languages = sorted(by_language)
     probs = np.zeros((len(table.pieces) + 1, len(languages)))
     for j, language in enumerate(languages):
-        counts = Counter(dict(by_language[language].most_common(TRAIN_WORDS)))
+        counts = by_language[language]
         p = np.ones(len(table.pieces) + 1)
         p[-1] = 0
         p /= p.sum()
@@ -219,19 +236,32 @@ def fit(samples: list[tuple[str, str]], path: str, rounds: int = ROUNDS) -> Unig
     return UnigramModel(table, languages, probs)
 
 
-def training_sample(docs: DataFrame, bound: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """At most bound labelled documents outside the held-out quarter, the same ones on each run."""
+def training_sample(docs: DataFrame, bound: int = TRAIN_DOCS, bound_bytes: int = TRAIN_BYTES) -> list[tuple[str, str]]:
+    """At most bound labelled documents of at most bound_bytes outside the held-out quarter, the same ones on each run."""
     learn = docs.where("lang is not null and text is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
-    ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = learn.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text").limit(2 * bound)
-    return [(r.lang, r.text) for r in rows.collect()]
+    learn = learn.select("doc_id", F.xxhash64("text").alias("h"), "lang", "text")
+    first = learn.select("doc_id", "h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(bound).collect()
+    chosen, total = [], 0
+    for row in first:
+        if total + row["size"] <= bound_bytes:
+            chosen.append((row["doc_id"], row["h"]))
+            total += row["size"]
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame(sorted(set(chosen)), "doc_id long, h long")
+    rows = learn.join(F.broadcast(ids), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min(F.struct("lang", "text")).alias("r"))
+    return [(r.lang, r.text) for r in rows.orderBy("doc_id", "h").select("r.lang", "r.text").collect()]
 
 
 def with_language(docs: DataFrame, path: str | None = None, bound: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language; those that would be und go."""
+    """The rows of docs, all columns as they are, whose text has a language; those that would be und go.
+
+    These are rows with a null or empty text or one without a letter. Null doc_ids and repeated rows stay; without a
+    labelled document no model is fitted and rows with a letter stay; an empty table gives no rows.
+    """
     samples = training_sample(docs, bound)
     if not samples:
-        return docs.limit(0)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(samples, path or vocabulary("piece_bpe_32k.model")))
     places = [docs.columns.index("doc_id"), docs.columns.index("text")]
     score = _scorer(shared)
@@ -299,7 +329,10 @@ def _scorer(shared):
 
 
 def identify(docs: DataFrame, path: str | None = None, bound: int = TRAIN_DOCS) -> DataFrame:
-    """Fits on the labelled documents of docs and predicts all; without a labelled document all are und."""
+    """Fits on the labelled documents of docs and predicts all, as predict() does; without a labelled document all are und.
+
+    Columns: doc_id, text and lang are read, others are not; null langs are not learned; an empty table gives no rows.
+    """
     samples = training_sample(docs, bound)
     if not samples:
         return named(docs).select("doc_id", F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2"), F.lit(False)).alias("held_out"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -48,7 +48,7 @@ def test_forward_sums_all_segmentations():
         if not text:
             return 1.0
         out = 0.0
-        for size in range(1, min(len(text), op04_langid.PIECE) + 1):
+        for size in range(1, min(len(text), model.table.longest) + 1):
             k = number.get(text[:size])
             out += (model.probs[k, j] if k is not None else op04_langid.UNKNOWN * (size == 1)) * total(text[size:], j)
         return out
@@ -59,16 +59,41 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(model.score(["zu" * 5000])).all()
 
 
-def test_training_on_words_over_the_part_size():
+def test_long_words_are_scored_and_fitted_whole():
     rng = random.Random(12)
     run = lambda syllables, n: "".join(rng.choice(syllables) for _ in range(n))
     kinds = {"a1": ["the", "and", "ing", "er"], "b2": ["sch", "ung", "ich", "au"], "c3": ["的", "是", "不", "我"]}
-    samples = [(name, " ".join(run(kind, 60) for _ in range(5))) for name, kind in kinds.items()]
+    samples = [(name, " ".join(run(kind, 700) for _ in range(3))) for name, kind in kinds.items()]
     model = op04_langid.fit(samples, op02_packing.vocabulary("piece_bpe_32k.model"))
-    assert all(len(w) > op04_langid.PART for _, text in samples for w in text.split())
-    for size in (10, 200):
+    for size in (10, 200, 3000):
         found = model.score([run(kind, size) for kind in kinds.values()]).argmax(1)
         assert [model.languages[k] for k in found] == list(kinds)
+    number = {p: k for k, p in enumerate(model.table.pieces)}
+    some = [run(kinds["b2"], n) + run(kinds["a1"], n) for n in (3, 14, 18, 30, 600, 1500)]
+    for word, got in zip(some, model.score(some)):
+        for j in range(3):  # the forward algorithm a place at a time, in logarithms
+            text, logs = op04_langid.MARK + word, [0.0]
+            for end in range(1, len(text) + 1):
+                ways = []
+                for size in range(1, min(end, model.table.longest) + 1):
+                    k = number.get(text[end - size : end])
+                    p = model.probs[k, j] if k is not None else op04_langid.UNKNOWN * (size == 1)
+                    ways += [math.log(p) + logs[end - size]] if p else []
+                top = max(ways)
+                logs.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+            assert math.isclose(got[j], logs[-1], rel_tol=1e-9), len(word)
+
+
+def test_language_id_without_labels_and_with_ties(spark):
+    docs = spark.createDataFrame([(1, "one two", None), (2, None, None), (3, "12 ..", "a"), (None, "x", "a"), (4, "", None)], "doc_id long, text string, lang string")
+    bare = docs.withColumn("lang", docs.lang.substr(9, 1))
+    assert sorted(r.text for r in op04_langid.with_language(docs.where("doc_id < 3")).collect()) == ["one two"]
+    assert {r.lang_pred for r in op04_langid.identify(docs.where("doc_id < 3")).collect()} == {"und"}
+    assert bare.count() == len(op04_langid.identify(bare).collect())
+    twins = [("b", "same words here"), ("a", "same words here")]
+    model = op04_langid.fit(twins, op02_packing.vocabulary("piece_bpe_32k.model"))
+    got = op04_langid.predict(clashing(docs), model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got if r.lang_pred != "und"] == [(1, "a"), (None, "a")] and all(r.score in (0.0, 0.5) for r in got)
 
 
 def test_secrets(spark):
