@@ -13,23 +13,28 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import documents, named, text_slices
 from .op02_packing import vocabulary
 
 #: A run that could be a credential, and key blocks.
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_\-]{16,}={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Characters looked at before and behind a candidate.
 AROUND = 40
 THRESHOLD = 0.5
-TREES, DEPTH, LEAF = 40, 9, 4
+TREES, DEPTH, LEAF = 40, 10, 4
 #: The bound of the labelled findings that a forest is fitted on.
-FINDINGS = 6000
+FINDINGS = 9000
 
 GOOD_WORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "access", "private", "pwd", "client_secret")
 BAD_WORDS = ("sha", "sha1", "sha256", "md5", "hash", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "example", "sample", "dummy", "placeholder", "integrity", "version", "id", "isbn", "path", "file", "url", "image")
 #: What a name with a credential word is set to, in quotes or up to white space, whatever its length and characters.
 ASSIGNED = re.compile(r"(?:" + "|".join(GOOD_WORDS) + r""")\w{0,64}["'`]?[ \t]*(?:=>|:=|=|:)[ \t]*(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|([^\s"'`,;({\[<]*[({\[<][^\s"'`,;]*[^\s"'`,;.]|[^\s"'`,;]*[^\s"'`,;.)\]}>]))""", re.IGNORECASE)
+#: The password of a connection string, and what follows an option with a credential word.
+URL = re.compile(r"""://[^\s:/@"'`]*:([^\s@/"'`]+)@(?=[A-Za-z0-9\[])""")
+FLAG = re.compile(r"(?<![\w-])--?(?:[a-z]+[-_])*(?:" + "|".join(GOOD_WORDS) + r""")[ \t]+([^\s"'`;|&-][^\s"'`;|&]*)""", re.IGNORECASE)
 NEAR_WORDS = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 
 
@@ -43,11 +48,16 @@ def dictionary() -> frozenset[str]:
     return frozenset(p for p in pieces if len(p) >= 3 and p.isascii() and p.isalpha())
 
 
+@lru_cache(maxsize=1)
+def longest() -> int:
+    return max(map(len, dictionary()))
+
+
 def coverage(value: str) -> float:
-    """The greatest share of the characters that dictionary words without overlap can cover, longest first at each place."""
-    value, words, at, covered = value.lower(), dictionary(), 0, 0
+    """The share of the characters that dictionary words without overlap cover, the longest first at each place."""
+    value, words, top, at, covered = value.lower(), dictionary(), longest(), 0, 0
     while at < len(value):
-        for size in range(min(12, len(value) - at), 2, -1):
+        for size in range(min(top, len(value) - at), 2, -1):
             if value[at : at + size] in words:
                 covered += size
                 at += size
@@ -73,7 +83,7 @@ def features(before: str, value: str, after: str) -> list[float]:
     left = before[-1:]
     tail = before[-4:].rstrip("\"' ")
     return [
-        min(n, 200),
+        math.log2(n),
         *(kinds.count(k) / n for k in range(4)),
         sum(c in "0123456789abcdef" for c in value) / n,
         entropy,
@@ -95,26 +105,35 @@ def features(before: str, value: str, after: str) -> list[float]:
         float(bool(near) and any(g in near[-1] for g in GOOD_WORDS)),
         float(any(w in BAD_WORDS for w in near)),
         float("://" in before[-AROUND:] and " " not in before[-AROUND:].rpartition("://")[2]),
+        float("://" in before[-AROUND:] and left == ":" and after[:1] == "@"),
         float(value.startswith("-----BEGIN")),
+        coverage("".join(value.split("-----")[2:3])) if value.startswith("-----BEGIN") else 0.0,
     ]
 
 
-def candidates(text: str):
-    """(start, end, features) of each candidate, in order; they may overlap.
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each candidate, in order; they may overlap.
 
-    What is assigned to a credential word always is one. Other runs without a digit or a change of case are none, nor
-    are those of less than six characters' kinds.
+    Candidates are private key blocks, runs of 16 or more letters, digits and + / _ - outside them, and of any length and
+    characters: what is assigned to a name with a credential word or follows such an option, and passwords in URLs.
     """
-    spans = {m.span(m.lastindex) for m in ASSIGNED.finditer(text)} if "=" in text or ":" in text else set()
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if value.isalpha() and (value.islower() or value.isupper() or value[1:].islower()):
-            continue
-        if len(set(value)) < 6:
-            continue
-        spans.add(m.span())
-    for a, b in sorted(spans):
-        yield a, b, features(text[max(0, a - AROUND) : a], text[a : min(b, a + 400)], text[b : b + AROUND])
+    out = {m.span() for m in BLOCK.finditer(text)} if "PRIVATE KEY" in text else set()
+    blocks = sorted(out)
+    out.update(m.span() for m in RUN.finditer(text))
+    if blocks:
+        out = {(a, b) for a, b in out if not any(p <= a and b <= q and (a, b) != (p, q) for p, q in blocks)}
+    if "=" in text or ":" in text:
+        out.update(m.span(m.lastindex) for m in ASSIGNED.finditer(text))
+        out.update(m.span(1) for m in URL.finditer(text))
+    if "-" in text:
+        out.update(m.span(1) for m in FLAG.finditer(text))
+    return sorted(out)
+
+
+def candidates(text: str):
+    """(start, end, features) of each candidate; features are of the whole value."""
+    for a, b in spans(text):
+        yield a, b, features(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
 
 
 class Forest:
@@ -146,7 +165,8 @@ class Forest:
             impurity = left * (1 - left / k) + right * (1 - right / (len(y) - k))
             j = int(impurity.argmin())
             if impurity[j] < best[0]:
-                best = (float(impurity[j]), int(f), float(v[k[j] - 1] + v[k[j]]) / 2)
+                low, high = float(v[k[j] - 1]), float(v[k[j]])
+                best = (float(impurity[j]), int(f), low if (low + high) / 2 >= high else (low + high) / 2)
         if best[1] < 0:
             return at
         go = x[:, best[1]] <= best[2]
@@ -171,55 +191,155 @@ class Forest:
 
 def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, bool]]:
     """Labelled findings (before, value, behind, is a secret) in the formats that scanners report; n is their bound."""
-    rng = random.Random(seed)
-    words = sorted(dictionary())
-    pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
-    prose = lambda: " ".join(rng.choice(words) for _ in range(4))
-    hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    mixed = alnum + "!@#$%^&*?+-_.~"
-    leet = lambda word: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.5 else c for c in word)
-    out = []
+    make = Findings(seed)
+    out: list[tuple[str, str, str, bool]] = []
     while len(out) < n:
-        if len(out) % 6 == 4:  # passwords, and what else is assigned to a credential word
-            mark, digits = rng.choice("!@#$%^&*?+-_."), pick(string.digits, rng.randint(1, 4))
-            value = rng.choice([lambda: pick(mixed, rng.randint(6, 24)), lambda: leet(rng.choice(words)).capitalize() + mark + digits + rng.choice(["", "!"]), lambda: rng.choice(words) + rng.choice(words) + digits, lambda: rng.choice(words).capitalize() + rng.choice([digits + mark, mark + digits]), lambda: mark.join(rng.choice(words) for _ in range(3)) + digits, lambda: pick(string.ascii_lowercase, rng.randint(8, 32)), lambda: pick(string.ascii_uppercase, rng.randint(16, 32))])()
-            name, quote = rng.choice(GOOD_WORDS), rng.choice(['"', "'", ""])
-            before = f"{prose()} {rng.choice(['', 'my_', 'API_', 'db_'])}{name}"
-            out.append((before + rng.choice([" = ", "=", ": ", '": ']) + quote, value, quote + rng.choice([" ", "\n", ";"]) + prose(), True))
-            value = rng.choice([lambda: rng.choice(words), lambda: rng.choice(words).capitalize(), lambda: rng.choice(["None", "null", "true", "false", "nil", "undefined", "required", "optional", "string", "str", "int", "bytes"]), lambda: rng.choice(["os.environ[", "getenv(", "self.", "config.", "request.", "args.", "settings.get("]) + rng.choice(words), lambda: rng.choice(["${%s}", "{{%s}}", "<%s>", "$%s", "%%(%s)s", "{%s}"]) % rng.choice([str.lower, str.upper])(rng.choice(["", "db_", "my_"]) + rng.choice([rng.choice(words), rng.choice(GOOD_WORDS)])), lambda: rng.choice("*x.X0-") * rng.randint(1, 14), lambda: rng.choice(["your", "my", "the", "new", "user"]) + rng.choice("-_ ") + rng.choice(GOOD_WORDS), lambda: rng.choice(["changeme", "example", "placeholder", "secret", "password", "test", "dummy", "todo"]), lambda: pick(string.digits, rng.randint(1, 3)), lambda: prose(), lambda: "/" + "/".join(rng.choice(words) for _ in range(2)), lambda: rng.choice(words) + "_" + rng.choice(words)])()
-            quote = rng.choice(['"', "'"]) if " " in value or rng.random() < 0.3 else ""
-            out.append((before + rng.choice([" = ", "=", ": ", '": ']) + quote, value, quote + rng.choice([" ", "\n", ";"]) + prose(), False))
-            continue
-        value = rng.choice([lambda: pick(hexa, rng.choice([32, 40, 64])), lambda: pick(alnum, rng.randint(20, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum + "+/", rng.choice([40, 64])) + "=", lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "eyJ" + pick(alnum + "-_", rng.randint(40, 120))])()
-        name, quote = rng.choice(GOOD_WORDS), rng.choice(['"', "'", ""])
-        out.append((f"{prose()} {rng.choice(['', 'my_', 'API_', 'db_'])}{name}{rng.choice([' = ', '=', ': ', '\": '])}{quote}", value, quote + rng.choice([" ", "\n", ";"]) + prose(), True))
-        how = rng.randrange(9)
-        before, after = prose() + " ", " " + prose()
-        if how == 0:
-            before, value = before + rng.choice(["commit ", "sha256:", "md5 = ", "checksum: ", "revision=", "etag: \""]), pick(hexa, rng.choice([32, 40, 64]))
-        elif how == 1:
-            value = "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
-            before += rng.choice(["uuid ", "id: ", ""])
-        elif how == 2:
-            value = "".join(rng.choice(words).capitalize() for _ in range(rng.randint(3, 6)))
-        elif how == 3:
-            value = "_".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + rng.choice(["", "2", "_v1"])
-        elif how == 4:
-            before, value = before + rng.choice(["/", "./", "https://host."]), "/".join(rng.choice(words) for _ in range(rng.randint(3, 6)))
-        elif how == 5:
-            before, value = before + f'{rng.choice(GOOD_WORDS)} = "', rng.choice(["your", "my", "insert", "example", "test"]) + rng.choice(["-", "_"]) + rng.choice(["api", "secret", "auth"]) + rng.choice(["-", "_"]) + rng.choice(["key", "token"]) + rng.choice(["-here", "_here", "_123", "-goes-here"])
-        elif how == 6:
-            before, value = before + f"{rng.choice(GOOD_WORDS)}: ", rng.choice(["x", "0", "X", "a1"]) * rng.randint(10, 30) + pick(alnum, 2)
-        elif how == 7:
-            value = pick(string.digits, rng.randint(16, 20))
-        else:
-            value = rng.choice(["", "THE"]).join(rng.choice(words).upper() for _ in range(4)) + pick(string.digits, rng.randint(0, 3))
-        out.append((before, value, after, False))
+        for family in (make.token, make.password, make.block):
+            out += family()
     return out[:n]
 
 
+class Findings:
+    """Makes labelled findings; each family gives a secret and something that looks like one."""
+
+    HEX, ALNUM = "0123456789abcdef", string.ascii_letters + string.digits
+    BASE64, MIXED = ALNUM + "+/", ALNUM + "!@#$%^&*?+-_.~"
+    FILLERS = ["None", "null", "true", "false", "nil", "undefined", "required", "optional", "string", "str", "int", "bytes"]
+    STAND_INS = ["changeme", "example", "placeholder", "secret", "password", "test", "dummy", "todo"]
+    CALLS = ["os.environ[", "getenv(", "self.", "config.", "request.", "args.", "settings.get("]
+    VARIABLES = ["${%s}", "{{%s}}", "<%s>", "$%s", "%%(%s)s", "{%s}"]
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+        self.words = sorted(dictionary())
+
+    def one(self, *makers):
+        return self.rng.choice(makers)()
+
+    def pick(self, letters: str, low: int, high: int | None = None) -> str:
+        return "".join(self.rng.choice(letters) for _ in range(self.rng.randint(low, high or low)))
+
+    def word(self) -> str:
+        return self.rng.choice(self.words)
+
+    def prose(self, n: int = 4) -> str:
+        return " ".join(self.word() for _ in range(n))
+
+    def name(self) -> str:
+        return self.rng.choice(["", "my_", "API_", "db_"]) + self.rng.choice(GOOD_WORDS)
+
+    def assigned(self, value: str, secret: bool, quote: str) -> tuple[str, str, str, bool]:
+        before = f"{self.prose()} {self.name()}" + self.rng.choice([" = ", "=", ": ", '": ']) + quote
+        return before, value, quote + self.rng.choice([" ", "\n", ";"]) + self.prose(), secret
+
+    def leet(self, word: str) -> str:
+        return "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if self.rng.random() < 0.5 else c for c in word)
+
+    def chosen_password(self) -> str:
+        """A password as people choose them."""
+        mark, digits, word = self.rng.choice("!@#$%^&*?+-_."), self.pick(string.digits, 1, 4), self.word
+        return self.one(
+            lambda: self.pick(self.MIXED, 6, 24),
+            lambda: self.pick(self.ALNUM, 8, 24),
+            lambda: self.leet(word()).capitalize() + mark + digits + self.rng.choice(["", "!"]),
+            lambda: self.leet(word()).capitalize() + mark + self.leet(word()) + self.rng.choice("#!*") + word(),
+            lambda: word() + word() + digits,
+            lambda: word().capitalize() + self.rng.choice([digits + mark, mark + digits]),
+            lambda: mark.join(word() for _ in range(3)) + digits,
+            lambda: self.pick(string.ascii_lowercase, 8, 32),
+            lambda: self.pick(string.ascii_uppercase, 16, 32),
+        )
+
+    def variable(self) -> str:
+        case = self.rng.choice([str.lower, str.upper])
+        return self.rng.choice(self.VARIABLES) % case(self.rng.choice(["", "db_", "my_"]) + self.rng.choice([self.word(), self.rng.choice(GOOD_WORDS)]))
+
+    def no_password(self) -> str:
+        return self.one(
+            self.word,
+            lambda: self.word().capitalize(),
+            lambda: self.rng.choice(self.FILLERS),
+            lambda: self.rng.choice(self.CALLS) + self.word(),
+            self.variable,
+            lambda: self.rng.choice("*x.X0-") * self.rng.randint(1, 14),
+            lambda: self.rng.choice(["your", "my", "the", "new", "user"]) + self.rng.choice("-_ ") + self.rng.choice(GOOD_WORDS),
+            lambda: self.rng.choice(self.STAND_INS),
+            lambda: self.pick(string.digits, 1, 3),
+            self.prose,
+            lambda: "/" + "/".join(self.word() for _ in range(2)),
+            lambda: self.word() + "_" + self.word(),
+        )
+
+    def password(self):
+        value = self.no_password()
+        quote = self.rng.choice(['"', "'"]) if " " in value or self.rng.random() < 0.3 else ""
+        yield self.assigned(self.chosen_password(), True, self.rng.choice(['"', "'", ""]))
+        yield self.assigned(value, False, quote)
+
+    def token(self):
+        upper = string.ascii_uppercase + string.digits
+        value = self.one(
+            lambda: self.pick(self.HEX, self.rng.choice([32, 40, 64])),
+            lambda: self.pick(self.ALNUM, 20, 60),
+            lambda: "AKIA" + self.pick(upper, 16),
+            lambda: "ghp_" + self.pick(self.ALNUM, 36),
+            lambda: "sk_live_" + self.pick(self.ALNUM, 24),
+            lambda: self.pick(self.BASE64, self.rng.choice([40, 64])) + "=",
+            lambda: "xoxb-" + self.pick(string.digits, 12) + "-" + self.pick(self.ALNUM, 24),
+            lambda: "eyJ" + self.pick(self.ALNUM + "-_", 40, 120),
+        )
+        yield self.assigned(value, True, self.rng.choice(['"', "'", ""]))
+        before, after = self.prose() + " ", " " + self.prose()
+        stand_in = lambda: self.rng.choice(["your", "my", "insert", "example", "test"]) + self.rng.choice("-_") + self.rng.choice(["api", "secret", "auth"]) + self.rng.choice("-_") + self.rng.choice(["key", "token"]) + self.rng.choice(["-here", "_here", "_123", "-goes-here"])
+        sums = ["commit ", "sha256:", "md5 = ", "checksum: ", "revision=", 'etag: "']
+        before, value = self.one(
+            lambda: (before + self.rng.choice(sums), self.pick(self.HEX, self.rng.choice([32, 40, 64]))),
+            lambda: (before + self.rng.choice(["uuid ", "id: ", ""]), "-".join(self.pick(self.HEX, k) for k in (8, 4, 4, 4, 12))),
+            lambda: (before, "".join(self.word().capitalize() for _ in range(self.rng.randint(3, 6)))),
+            lambda: (before, "".join(self.word() for _ in range(self.rng.randint(3, 6)))),
+            lambda: (before, "_".join(self.word() for _ in range(self.rng.randint(3, 6))) + self.rng.choice(["", "2", "_v1"])),
+            lambda: (before + self.rng.choice(["/", "./", "https://host."]), "/".join(self.word() for _ in range(self.rng.randint(3, 6)))),
+            lambda: (before + f'{self.rng.choice(GOOD_WORDS)} = "', stand_in()),
+            lambda: (before + f"{self.rng.choice(GOOD_WORDS)}: ", self.rng.choice(["x", "0", "X", "a1"]) * self.rng.randint(10, 30) + self.pick(self.ALNUM, 2)),
+            lambda: (before, self.pick(string.digits, 16, 20)),
+            lambda: (before, self.rng.choice("-_=/+xX") * self.rng.randint(16, 80)),
+            lambda: (before, self.rng.choice(["ab", "-=", "ha", "01"]) * self.rng.randint(8, 30)),
+            lambda: (before, self.rng.choice(["", "THE"]).join(self.word().upper() for _ in range(4)) + self.pick(string.digits, 0, 3)),
+        )
+        yield before, value, after, False
+
+    def block(self):
+        """Key blocks, passwords in URLs and behind options; stand-ins for them, and lines of what is no private key."""
+        kind = self.rng.choice(["", "RSA ", "EC ", "OPENSSH ", "DSA ", "ENCRYPTED "])
+        framed = lambda body: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+        lines = lambda low, high, break_="\n": break_.join(self.pick(self.BASE64, 64) for _ in range(self.rng.randint(low, high))) + break_ + self.pick(self.BASE64, 4, 60) + "=" * self.rng.randint(0, 2)
+        headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + self.pick(self.HEX, 32) + "\n\n"
+        before, after = self.prose() + self.rng.choice([" ", "\n", ': "']), self.rng.choice([" ", "\n"]) + self.prose()
+        url = self.prose() + " " + self.rng.choice(["postgres", "mysql", "https", "amqp", "redis", "mongodb+srv"]) + "://" + self.rng.choice(["", "root", "admin", self.word()]) + ":"
+        host = "@" + self.word() + self.rng.choice([".com/", ":5432/", ".internal/"]) + self.word()
+        flag = self.prose() + " " + self.rng.choice(["--", "-", "--db-"]) + self.rng.choice(GOOD_WORDS) + " "
+        yield self.one(
+            lambda: (before, framed(lines(1, 40)), after, True),
+            lambda: (before, framed(headers + lines(4, 30)), after, True),
+            lambda: (before, framed(lines(1, 30, "\\n")), after, True),
+            lambda: (before, framed(self.pick(self.rng.choice([self.HEX, "AB01", "QUFB", string.ascii_letters]), 60, 900)), after, True),
+            lambda: (url, self.chosen_password(), host, True),
+            lambda: (flag, self.chosen_password().lstrip("-"), after, True),
+        )
+        line = lambda: self.pick(self.BASE64, 64)
+        stand_in = self.one(lambda: self.rng.choice(["...", "xxxx", "XXXXXXXX", "****", "[redacted]"]), lambda: "your " + self.prose(2) + " here", lambda: "YOUR PRIVATE KEY HERE", self.variable)
+        yield self.one(
+            lambda: (before, framed(stand_in), after, False),
+            lambda: (line() + "\n", line(), "\n" + line(), False),
+            lambda: ("-----BEGIN CERTIFICATE-----\n", line(), "\n" + line(), False),
+            lambda: (self.prose(2) + " data:image/png;base64,", self.pick(self.BASE64, 60, 400), '" ' + self.prose(2), False),
+            lambda: (url, self.one(lambda: self.rng.choice(self.STAND_INS), self.variable, lambda: self.rng.choice("*x") * self.rng.randint(3, 10)), host, False),
+            lambda: (flag, self.one(lambda: self.rng.choice(self.STAND_INS), self.variable, self.word), after, False),
+        )
+
+
 def fit(findings: list[tuple[str, str, str, bool]]) -> Forest:
-    x = np.array([features(b[-AROUND:], v[:400], a[:AROUND]) for b, v, a, _ in findings])
+    x = np.array([features(b[-AROUND:], v, a[:AROUND]) for b, v, a, _ in findings])
     return Forest(x, np.array([float(y) for *_, y in findings]))
 
 
@@ -270,26 +390,30 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each secret in text replaced by mark and n_chars, if there, counted anew for the changed texts."""
+    """docs, all rows and columns, with each secret in text replaced by mark.
+
+    n_chars, if there and a whole number, is counted anew for the changed texts; with another type it stays as it is. Null and
+    empty texts, null doc_ids and other columns stay as they are; equal rows stay equal; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
-    names = docs.columns
+    names, place = docs.columns, docs.columns.index("text")
+    counted = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
 
     def run(batches):
         for batch in batches:
-            texts, sizes = batch.column(names.index("text")).to_pylist(), batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for k, text in enumerate(texts):
-                spans = [(a, b) for a, b, score in scan_text(text or "", shared.value) if score >= threshold]
-                if spans:
-                    for a, b in reversed(joined(spans)):
-                        text = text[:a] + mark + text[b:]
-                    texts[k] = text
-                    if sizes:
-                        sizes[k] = len(text)
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(texts, pa.string())
-            if sizes is not None:
-                columns[names.index("n_chars")] = pa.array(sizes, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in text_slices(batch, place):
+                columns, changed = list(part.columns), {}
+                for k, text in enumerate(part.column(place).to_pylist()):
+                    found = [(a, b) for a, b, score in scan_text(text or "", shared.value) if score >= threshold]
+                    for a, b in reversed(joined(found)):
+                        changed[k] = text = text[:a] + mark + text[b:]
+                for at, value in ((place, lambda t: t), (counted, len)):
+                    if at is not None and changed:
+                        column = columns[at].to_pylist()
+                        for k, text in changed.items():
+                            column[k] = value(text)
+                        columns[at] = pa.array(column, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
 
