@@ -26,7 +26,7 @@ AROUND = 40
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 10, 4
 #: The bound of the labelled findings that a forest is fitted on.
-FINDINGS = 9000
+FINDINGS = 7500
 
 GOOD_WORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "access", "private", "pwd", "client_secret")
 BAD_WORDS = ("sha", "sha1", "sha256", "md5", "hash", "commit", "checksum", "digest", "uuid", "guid", "etag", "revision", "example", "sample", "dummy", "placeholder", "integrity", "version", "id", "isbn", "path", "file", "url", "image")
@@ -49,18 +49,22 @@ def dictionary() -> frozenset[str]:
 
 
 @lru_cache(maxsize=1)
-def longest() -> int:
-    return max(map(len, dictionary()))
+def by_head() -> dict[str, list[str]]:
+    """The dictionary's words by their first three letters, the longest first."""
+    out: dict[str, list[str]] = {}
+    for word in sorted(dictionary(), key=lambda w: (-len(w), w)):
+        out.setdefault(word[:3], []).append(word)
+    return out
 
 
 def coverage(value: str) -> float:
     """The share of the characters that dictionary words without overlap cover, the longest first at each place."""
-    value, words, top, at, covered = value.lower(), dictionary(), longest(), 0, 0
+    value, heads, at, covered = value.lower(), by_head(), 0, 0
     while at < len(value):
-        for size in range(min(top, len(value) - at), 2, -1):
-            if value[at : at + size] in words:
-                covered += size
-                at += size
+        for word in heads.get(value[at : at + 3], ()):
+            if value.startswith(word, at):
+                covered += len(word)
+                at += len(word)
                 break
         else:
             at += 1
@@ -73,7 +77,7 @@ def kind(c: str) -> int:
 
 def features(before: str, value: str, after: str) -> list[float]:
     """Length, character shares and transitions, entropy, dictionary coverage, path signs, neighbouring words."""
-    n = len(value)
+    n, block = len(value), value.startswith("-----BEGIN") and value.count("-----") > 2
     kinds = [kind(c) for c in value]
     count = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in count.values())
@@ -92,7 +96,7 @@ def features(before: str, value: str, after: str) -> list[float]:
         max(count.values()) / n,
         *(moves[a, b] / max(1, n - 1) for a in range(3) for b in range(3) if a != b),
         sum(kinds[k] != kinds[k + 1] for k in range(n - 1)) / max(1, n - 1),
-        coverage(value),
+        coverage(value.split("-----")[2] if block else value),
         float(value.count("/")),
         float(value.count("-")),
         float(value.count("_")),
@@ -106,8 +110,7 @@ def features(before: str, value: str, after: str) -> list[float]:
         float(any(w in BAD_WORDS for w in near)),
         float("://" in before[-AROUND:] and " " not in before[-AROUND:].rpartition("://")[2]),
         float("://" in before[-AROUND:] and left == ":" and after[:1] == "@"),
-        float(value.startswith("-----BEGIN")),
-        coverage("".join(value.split("-----")[2:3])) if value.startswith("-----BEGIN") else 0.0,
+        float(block),
     ]
 
 
@@ -217,7 +220,7 @@ class Findings:
         return self.rng.choice(makers)()
 
     def pick(self, letters: str, low: int, high: int | None = None) -> str:
-        return "".join(self.rng.choice(letters) for _ in range(self.rng.randint(low, high or low)))
+        return "".join(self.rng.choices(letters, k=self.rng.randint(low, high or low)))
 
     def word(self) -> str:
         return self.rng.choice(self.words)
@@ -225,6 +228,11 @@ class Findings:
     def prose(self, n: int = 4) -> str:
         return " ".join(self.word() for _ in range(n))
 
+    def invented(self) -> str:
+        """A long word of no dictionary: pieces of others."""
+        cut = lambda w, k: w[k : k + self.rng.randint(2, 4)]
+        return "".join(cut(self.word(), self.rng.randint(0, 3)) for _ in range(self.rng.randint(6, 12)))
+
     def name(self) -> str:
         return self.rng.choice(["", "my_", "API_", "db_"]) + self.rng.choice(GOOD_WORDS)
 
@@ -297,6 +305,9 @@ class Findings:
             lambda: (before + self.rng.choice(["uuid ", "id: ", ""]), "-".join(self.pick(self.HEX, k) for k in (8, 4, 4, 4, 12))),
             lambda: (before, "".join(self.word().capitalize() for _ in range(self.rng.randint(3, 6)))),
             lambda: (before, "".join(self.word() for _ in range(self.rng.randint(3, 6)))),
+            lambda: (before, self.invented()),
+            lambda: (before[:-1] + ". ", self.invented().capitalize()),
+            lambda: (self.prose() + self.rng.choice([" import ", " class ", " new ", " "]), "".join(self.invented()[:9].capitalize() for _ in range(self.rng.randint(2, 4)))),
             lambda: (before, "_".join(self.word() for _ in range(self.rng.randint(3, 6))) + self.rng.choice(["", "2", "_v1"])),
             lambda: (before + self.rng.choice(["/", "./", "https://host."]), "/".join(self.word() for _ in range(self.rng.randint(3, 6)))),
             lambda: (before + f'{self.rng.choice(GOOD_WORDS)} = "', stand_in()),
@@ -319,9 +330,9 @@ class Findings:
         host = "@" + self.word() + self.rng.choice([".com/", ":5432/", ".internal/"]) + self.word()
         flag = self.prose() + " " + self.rng.choice(["--", "-", "--db-"]) + self.rng.choice(GOOD_WORDS) + " "
         yield self.one(
-            lambda: (before, framed(lines(1, 40)), after, True),
-            lambda: (before, framed(headers + lines(4, 30)), after, True),
-            lambda: (before, framed(lines(1, 30, "\\n")), after, True),
+            lambda: (before, framed(lines(1, 26)), after, True),
+            lambda: (before, framed(headers + lines(4, 20)), after, True),
+            lambda: (before, framed(lines(1, 20, "\\n")), after, True),
             lambda: (before, framed(self.pick(self.rng.choice([self.HEX, "AB01", "QUFB", string.ascii_letters]), 60, 900)), after, True),
             lambda: (url, self.chosen_password(), host, True),
             lambda: (flag, self.chosen_password().lstrip("-"), after, True),
