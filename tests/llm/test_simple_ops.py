@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -46,6 +47,52 @@ def test_licence_template_needs_its_key_phrase():
     assert "isc" not in index.scan(text.replace("with or without fee", "with no fee").encode().split())[1]
 
 
+def test_templates_against_brute_force():
+    rng = random.Random(3)
+    filler = ["lorem", "the", "software", "of", "and", "license", "copy"]
+    index = op01_license.default_index()
+
+    def in_order(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + (x == y), row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def brute(words):
+        out = {}
+        text = " " + " ".join(words) + " "
+        for label, (template, must) in op01_license.TEMPLATES.items():
+            t = template.split()
+            if not all(f" {k} " in text for k in must):
+                continue
+            for at in range(-len(t), len(words)):
+                part = words[max(0, at - 4) : max(0, at + len(t) + 4)]
+                if all(f" {k} " in f" {' '.join(part)} " for k in must):
+                    share = in_order(t, part) / len(t)
+                    if share >= 0.7:
+                        out[label] = max(out.get(label, 0), share)
+        return out
+
+    seen = set()
+    for label, (template, must) in op01_license.TEMPLATES.items():
+        for rate in (0.0, 0.1, 0.25, 0.4):
+            words = ["zz" if rng.random() < rate else w for w in template.split()]
+            for key in must if rng.random() < 0.8 else ():
+                at = template.split().index(key.split()[0])
+                at = next(k for k in range(at, len(words)) if template.split()[k : k + len(key.split())] == key.split())
+                words[at : at + len(key.split())] = key.split()
+            words = [rng.choice(filler) for _ in range(20)] + words + [rng.choice(filler) for _ in range(20)]
+            want = brute(words)
+            got = index.scan([w.encode() for w in words])[1]
+            assert {k: v for k, v in got.items() if k in op01_license.TEMPLATES and k not in op01_license.PHRASES.values()}.keys() == {k for k in want if k not in op01_license.PHRASES.values()}, (label, rate)
+            assert all(v - 0.1 <= got[k] <= v + 1e-12 for k, v in want.items() if k not in op01_license.PHRASES.values())
+            seen |= set(want)
+    assert seen == set(op01_license.TEMPLATES)
+
+
 BSD = """Copyright (c) 2020, Some Body
 All rights reserved.
 
