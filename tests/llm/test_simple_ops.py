@@ -236,7 +236,7 @@ def test_mpeg_resynchronises_and_checks():
     payload = bytes(range(256)) * 40
     data = bytearray(op10_mpeg.write_stream(payload, len(payload)))
     back = op10_mpeg.read_stream(bytes(data))
-    assert back["payload"] == payload and back["vbr"][0] == back["frames"] and back["bad_crc"] == 0
+    assert back["payload"] == payload and back["vbr"]["frames"] == back["frames"] and back["bad_crc"] == 0
     assert back["duration_s"] == back["frames"] * 1152 / 48000
     at = op10_mpeg.seek_offset(op10_mpeg.read_stream(bytes(data), seek_every=2)["seek"], 1152 * 3)
     assert op10_mpeg.parse_header(bytes(data), at)
@@ -246,3 +246,60 @@ def test_mpeg_resynchronises_and_checks():
     assert again["payload"] == payload and again["skipped"] == 10
     data[second + 5] ^= 1
     assert op10_mpeg.read_stream(bytes(data))["bad_crc"] == 1
+    toc = back["vbr"]["toc"]
+    assert len(toc) == 100 and all(abs(op10_mpeg.table_offset(back, k / 100) - (back["vbr_at"] + toc[k][1])) == 0 for k in range(100))
+
+
+def bit_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
+def layer_frame(layer, mode=3):
+    """A protected MPEG-1 frame of layer I or II at 48 kHz with random bytes; its checksum by hand."""
+    rng = random.Random(layer)
+    index = 5
+    header = bytes([0xFF, 0xF8 | (4 - layer) << 1, index << 4 | 1 << 2, mode << 6])
+    size = op10_mpeg.parse_header(header, 0)[0]
+    body = bytes(rng.randrange(1, 255) for _ in range(size - 6))
+    bits = [b >> k & 1 for b in body for k in range(7, -1, -1)]
+    if layer == 1:
+        covered = 4 * 32 * (1 if mode == 3 else 2)
+    else:  # 80 kbit/s mono: 27 subbands
+        at = used = 0
+        for n, width in ((11, 4), (12, 3), (4, 2)):
+            for _ in range(n):
+                used += any(bits[at : at + width])
+                at += width
+        covered = at + 2 * used
+    head = [b >> k & 1 for b in header[2:] for k in range(7, -1, -1)]
+    return header + bit_crc(head + bits[:covered]).to_bytes(2, "big") + body
+
+
+def test_mpeg_layers_tables_tags_and_rates(spark):
+    one, two = layer_frame(1, mode=0), layer_frame(2)
+    for good in (one, two):
+        bad = bytearray(good * 3)
+        bad[6] ^= 0x10
+        assert op10_mpeg.read_stream(good * 3)["bad_crc"] == 0 and op10_mpeg.read_stream(bytes(bad))["bad_crc"] == 1
+    plain = lambda hz_index: bytes([0xFF, 0xFB, 9 << 4 | hz_index << 2, 0xC0])
+    frame = lambda k: plain(k).ljust(op10_mpeg.parse_header(plain(k), 0)[0], b"\1")
+    mixed = op10_mpeg.read_stream(frame(0) * 3 + frame(1) * 2 + frame(2))
+    assert mixed["rates"] == {44100: 3456, 48000: 2304, 32000: 1152} and mixed["duration_s"] == pytest.approx(3456 / 44100 + 2304 / 48000 + 1152 / 32000, abs=1e-15)
+    vbri = bytearray(frame(1))
+    vbri[36:] = (b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (4 * len(frame(1))).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes([0, 2, 0, 2, 0, 2, 0, 2]) + len(frame(1)).to_bytes(2, "big") * 2).ljust(len(vbri) - 36, b"\0")
+    back = op10_mpeg.read_stream(bytes(vbri) + frame(1) * 4)
+    assert back["vbr"]["kind"] == "VBRI" and back["vbr"]["frames"] == back["frames"] == 4
+    assert op10_mpeg.table_offset(back, 0.5) == 3 * len(frame(1)) and op10_mpeg.table_offset(back, 0.0) == len(frame(1))
+    text = b"TIT2" + bytes([0, 0, 0, 6, 0, 0]) + b"\3Song\0" + b"TXXX" + bytes([0, 0, 0, 6, 0, 0]) + b"\0a\0b\0c"
+    old = b"TAG" + b"Old title".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + bytes(30) + b"1999" + bytes(28) + bytes([0, 7, 12])
+    tagged = b"ID3\4\0\0" + op10_mpeg.syncsafe(len(text)) + text + frame(1) * 2 + old
+    assert op10_mpeg.read_stream(tagged)["tags"] == {"TIT2": "Song", "a": "b", "title": "Old title", "artist": "Band", "year": "1999", "track": "7"}
+    rows = [(1, tagged, "x"), (2, None, "x"), (3, b"", "x"), (3, b"", "x"), (4, b"no frames here \xff\xfb", "x"), (None, frame(0) * 3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, media binary, mpeg string")
+    got = {(r.doc_id, r.media and bytes(r.media)): r.mpeg for r in op10_mpeg.probe(df).collect()}
+    assert got[2, None] is None and got[3, b""].frames == 0 and got[4, rows[4][1]].frames == 0
+    assert got[1, tagged].frames == 2 and got[1, tagged].tags["artist"] == "Band" and got[None, frame(0) * 3].rates == {44100: 3456}
+    assert op10_mpeg.probe(df).count() == 6 and op10_mpeg.probe(df.limit(0)).count() == 0
