@@ -26,8 +26,9 @@ WIDTH = 5
 #: The least similarity, as intersection over union.
 SHARE = (75, 100)
 BINS, ROWS = 128, 4
-#: Bins in which two signatures must agree to be confirmed in step 4; a similarity of 0.75 gives 96, with a deviation of 4.9.
-AGREE = 68
+#: Bins in which two signatures must agree to be confirmed in step 4; a similarity of 0.75 gives 96, with a deviation of
+#: 4.9, so 5.7 deviations lie between. Sets of fewer than TINY shingles, whose bins borrow much, are always confirmed.
+AGREE, TINY = 68, 16
 ATTEMPTS = 4096
 #: Members of a bucket that are compared at once in step 4.
 BLOCK = 1024
@@ -165,7 +166,7 @@ def _bucket_links(rows: list[tuple]):
         for low in range(first, end, BLOCK):
             rest = slice(low, min(end, low + BLOCK))
             same = signature[rest] == signature[at]
-            maybe = (part[rest] != part[at]) & (same.sum(1) >= AGREE)
+            maybe = (part[rest] != part[at]) & ((same.sum(1) >= AGREE) | (size[rest] < TINY))
             maybe &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
             some = low + np.flatnonzero(maybe)
             if len(some):
