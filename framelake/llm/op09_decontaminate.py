@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, documents, mix64, named, span_hashes, text_bytes, text_slices, word_spans
+from .common import ALNUM, cut, documents, mix64, named, span_hashes, text_bytes, text_slices, word_spans
 
 #: 1: the word counts, 0: it may differ. Each overlap that the rule below accepts holds a seed: no start or end of a best
 #: run has half as many differences as matches, and the masks meet all such runs of up to 15 words and all starts of 16.
@@ -25,7 +25,7 @@ SHORT = {
     10: ("11110111", "111011011"),
     11: ("1110110111", "111101111", "1111010111", "1110111011"),
 }
-#: Items under so many words overlap nothing.
+#: Items under so many words overlap nothing: four words in a row, or fewer, are common in clean documents.
 LEAST = 5
 #: An overlap needs so many equal words, or this share of a short item's, and this share of its length.
 WORDS, SHARE, IDENTITY = 10, 0.8, 0.7
@@ -134,30 +134,42 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     one item) are looked up against all documents. Null or empty texts, and items under five words, overlap nothing;
     null doc_ids are kept; repeated rows each give their rows; other columns are not read; empty tables give no rows.
     """
-    docs = named(docs, id_col, text_col)
-    out = None
-    for index in indexes(docs.sparkSession, benchmark, block_words):
+    docs, out = named(docs, id_col, text_col), None
+    for index, alone in indexes(docs.sparkSession, benchmark, block_words):
         part = docs.mapInArrow(_scan(index), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long")
+        if not alone:  # only one block's index lives at a time
+            part = cut(part)
+            index.unpersist()
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns as they are, that overlap no benchmark item; each block of it is a filter."""
-    place = docs.columns.index("text")
-    for index in indexes(docs.sparkSession, benchmark, block_words):
-        docs = docs.mapInArrow(_clean(index, place), docs.schema)
-    return docs
+    """The rows of docs, all columns as they are, that overlap no benchmark item.
+
+    Null and empty texts and null doc_ids stay, equal rows stay or go together, other columns are not read; an empty
+    benchmark leaves all rows, an empty table gives none.
+    """
+    place, key = docs.columns.index("text"), "__overlap_key"
+    found = None
+    for index, alone in indexes(docs.sparkSession, benchmark, block_words):
+        if alone:
+            return docs.mapInArrow(_clean(index, place), docs.schema)
+        rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+        part = cut(rows.mapInArrow(_scan(index), "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long").select(F.col("doc_id").alias(key)).distinct())
+        index.unpersist()
+        found = part if found is None else found.unionAll(part)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left_anti").select(*docs.columns)
 
 
 def indexes(spark: SparkSession, benchmark: DataFrame, block_words: int):
-    """A broadcast index for each block of the benchmark."""
+    """A broadcast index for each block of the benchmark, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
     blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().collect()
-        yield spark.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows]))
+        yield spark.sparkContext.broadcast(SeedIndex([r[0] for r in rows], [r[1] for r in rows])), blocks == 1
 
 
 def _clean(index, place):

@@ -302,6 +302,8 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in small.collect()} == want
     bad = {i for i, _ in want}
     assert {r.doc_id for r in op09_decontaminate.without_overlaps(df, bench).collect()} == {r[0] for r in rows} - bad
+    assert sorted(map(repr, op09_decontaminate.without_overlaps(df, bench, block_words=20).collect())) == sorted(map(repr, op09_decontaminate.without_overlaps(df, bench).collect()))
+    assert op09_decontaminate.without_overlaps(df, bench.limit(0)).count() == len(rows)
     assert op09_decontaminate.overlaps(df, bench.limit(0)).count() == 0 and op09_decontaminate.overlaps(empty_docs(spark), bench).count() == 0
 
 
@@ -319,6 +321,27 @@ def test_decontamination_has_a_seed_for_each_accepted_overlap():
         assert sorted(row for row, *_ in found) == want and want, n
 
 
+def recall_under_substitution(n, rate, tries=400, seed=3):
+    """Of overlaps that verification accepts, the share that is found; each word changes with the given rate."""
+    rng, accepted, found = random.Random(seed), 0, 0
+    item = [f"w{k}" for k in range(n)]
+    index = op09_decontaminate.SeedIndex([1], [" ".join(item)])
+    for t in range(tries):
+        row = [w if rng.random() >= rate else f"x{t}y{k}" for k, w in enumerate(item)]
+        a, b, m = op09_decontaminate.best_run(np.array([x == y for x, y in zip(item, row)]))
+        if op09_decontaminate.accepted(m, b - a, n):
+            accepted += 1
+            found += bool(list(index.overlaps(*op09_decontaminate.hashed_words(pa.array(["lead in " + " ".join(row) + " out"])))))
+    return found / max(1, accepted), accepted
+
+
+def test_recall_of_tolerated_overlaps():
+    for n in (5, 8, 10, 12, 13, 15, 20, 40):
+        for rate in (0.0, 0.05, 0.1, 0.2, 0.3):
+            recall, accepted = recall_under_substitution(n, rate)
+            assert recall == 1.0 and (accepted or rate > 0.2), (n, rate, recall)
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 300, "user", None), (None, 1, "user", "x"), (2, 1, "system", "alone"), (1, 301, None, "who")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

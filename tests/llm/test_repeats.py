@@ -38,6 +38,13 @@ def test_against_brute_force(spark):
     assert op.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_ids_that_look_special(spark):
+    text = "same text again and again " * 20
+    rows = [(0, text), (None, text), (-(1 << 62), text), (None, None)]
+    got = op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute(rows)))
+
+
 def test_row_over_16_mb(spark):
     big = np.random.default_rng(4).integers(97, 123, 17_500_000).astype(np.uint8).tobytes().decode()
     passage = big[17_000_000:17_000_600]
