@@ -1,7 +1,11 @@
 """The training-corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's result to
-the shared folder and reads it again, so that a lost executor costs at most one stage.
+the shared folder and reads it again, so that a lost executor costs at most one stage. A result that the next stage has
+read is deleted; the last one stays, as the returned plan reads it.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and columns with any other
+names, which they pass on untouched; what each does with a null or empty text is said there.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from framelake.llm import common, op02_packing, op04_langid, op06_secrets, op08_
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a text or a letter go."""
+    """Documents that have a language; those with a null or empty text or without a letter go. Null doc_ids and repeats stay."""
     common.tune(spark)
     return op04_langid.with_language(docs)
 
@@ -21,7 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id (those without one come last).
 
-    Rows of one doc_id, or without one, are told apart by their texts; of equal ones with words, one is kept.
+    Rows of one doc_id, or without one, are told apart by their texts; of equal ones with words, one is kept. Null and
+    empty texts and others without words are near nothing and all stay.
     """
     common.tune(spark)
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
@@ -39,19 +44,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark; null and empty texts share none."""
     common.tune(spark)
     return op09_decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
+    """All documents, secrets replaced by a mark; null and empty texts have none."""
     common.tune(spark)
     return op06_secrets.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; a null or empty text is one piece, its end id."""
     common.tune(spark)
     return op02_packing.pack(docs)
 
@@ -69,9 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = common.scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
