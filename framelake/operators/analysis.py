@@ -1,11 +1,17 @@
-"""Analysis of images: aggregates over the long form, with one shuffle on image_id at most."""
+"""Analysis of images: measures within a row, without a shuffle; aggregates over the long form with one on image_id at most."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..kernels import measures
+
 #: Grades by least score.
 GRADES = ((85, "A"), (70, "B"), (50, "C"), (25, "D"))
 RECOMMENDATIONS = {
@@ -63,24 +69,47 @@ def tone(hist: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(px: DataFrame) -> DataFrame:
-    """px with left, right, up and down values: two windows within an image's rows."""
-    row, column = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
-    return px.withColumns({"left": F.lag("v").over(row), "right": F.lead("v").over(row), "up": F.lag("v").over(column), "down": F.lead("v").over(column)})
+def plane_values(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """(row, plane, place) of the rows given of a column of planes, all of one size."""
+    return np.array(column.take(pa.array(rows)).flatten().flatten(), np.int64).reshape(len(rows), len(column[int(rows[0])]), -1)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
 
+def measured(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """image_id and what f gives for stacks of images of one size, as (n, h, w, channels); images never leave their row."""
+    names, kinds = [part.split()[0] for part in schema.split(", ")], arrow_schema("image_id long, " + schema)
 
-def laplacian(near: DataFrame) -> DataFrame:
-    """The mean square of the 4-neighbour Laplacian over inner pixels."""
-    value = F.col("left") + F.col("right") + F.col("up") + F.col("down") - 4 * F.col("v")
-    return near.groupBy("image_id").agg(F.round(F.coalesce(F.avg((value * value).cast("double")), F.lit(0.0)), 6).alias("laplacian"))
+    def run(batches):
+        for batch in batches:
+            w, h = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            n = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            for size in {*zip(w.tolist(), h.tolist(), n.tolist())}:
+                rows = np.flatnonzero((w == size[0]) & (h == size[1]) & (n == size[2]))
+                stack = plane_values(batch.column(3), rows).transpose(0, 2, 1).reshape(len(rows), size[1], size[0], -1)
+                found = f(stack)
+                values = [pa.array(found[name], kinds.field(name).type, from_pandas=True) for name in names]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *values], schema=kinds)
 
+    rows = df.where("w > 0 and h > 0").select(F.col("image_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "planes")
+    return rows.mapInArrow(run, "image_id long, " + schema)
 
-def edge_density(near: DataFrame) -> DataFrame:
-    """The share of pixels, the last two rows and columns left out, that differ by over 30 from the right or lower one."""
-    hit = (F.abs(F.col("v") - F.col("right")) > 30) | (F.abs(F.col("v") - F.col("down")) > 30)
-    inner = (F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") < F.col("w") - 1) & (F.col("y") < F.col("h") - 1)
-    area = F.max((F.col("w") - 2) * (F.col("h") - 2))
-    return near.groupBy("image_id").agg(F.round(F.count(F.when(hit & inner, 1)) / area, 6).alias("edge_density"))
+
+def laplacian(df: DataFrame) -> DataFrame:
+    """The mean square of the 4-neighbour Laplacian of luma images over inner pixels."""
+    out = measured(df, lambda x: {"laplacian": measures.laplacian(x[..., 0])}, "laplacian double")
+    return out.withColumn("laplacian", F.round("laplacian", 6))
+
+
+def edge_density(df: DataFrame) -> DataFrame:
+    """The share of pixels, those at the border left out, that differ by over 30 from the right or lower one."""
+    out = measured(df, lambda x: {"edge_density": measures.edge_density(x[..., 0])}, "edge_density double")
+    return out.withColumn("edge_density", F.round("edge_density", 6))
 
 
 def noise(px: DataFrame) -> DataFrame:
@@ -88,7 +117,7 @@ def noise(px: DataFrame) -> DataFrame:
     inner = (F.floor(F.col("x") / 8) * 8 < F.col("w") - 8) & (F.floor(F.col("y") / 8) * 8 < F.col("h") - 8)
     block = px.groupBy("image_id", F.floor(F.col("x") / 8).alias("bx"), F.floor(F.col("y") / 8).alias("by"))
     block = block.agg(F.when(F.max(inner), F.avg((F.col("v") * F.col("v")).cast("double")) - F.avg(F.col("v").cast("double")) * F.avg(F.col("v").cast("double"))).alias("var"))
-    return block.groupBy("image_id").agg(F.round(F.coalesce(F.least(F.lit(100.0), F.sqrt(F.greatest(F.lit(0.0), F.min("var"))) * 10), F.lit(100.0)), 6).alias("noise"))
+    return block.groupBy("image_id").agg(F.round(F.when(F.min("var").isNull(), 100.0).otherwise(F.least(F.lit(100.0), F.sqrt(F.greatest(F.lit(0.0), F.min("var"))) * 10)), 6).alias("noise"))
 
 
 def color_metrics(px: DataFrame) -> DataFrame:
@@ -108,20 +137,19 @@ def color_metrics(px: DataFrame) -> DataFrame:
 def color_cast(px: DataFrame, threshold: float = 15.0) -> DataFrame:
     """The tint that the channel means show, or null."""
     m = px.groupBy("image_id").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in "rgb"))
+    return m.select("image_id", cast_name(threshold).alias("color_cast"))
+
+
+def cast_name(threshold: float) -> Column:
+    """The tint that the means r, g and b show, or null."""
     gray = (F.col("r") + F.col("g") + F.col("b")) / 3.0
     over = lambda c: F.col(c) - gray > threshold
-    cast = F.when(over("r"), "red").when(over("g"), "green").when(over("b"), "blue").when(gray - F.col("b") > threshold, "yellow").when(gray - F.col("r") > threshold, "cool/blue")
-    return m.select("image_id", cast.alias("color_cast"))
+    return F.when(over("r"), "red").when(over("g"), "green").when(over("b"), "blue").when(gray - F.col("b") > threshold, "yellow").when(gray - F.col("r") > threshold, "cool/blue")
 
 
-def artifacts(near: DataFrame) -> DataFrame:
-    """Whether steps across the 8-pixel grid are over 1.3 times as large as others, in images of 32 pixels and more."""
-    dx, dy = F.abs(F.col("v") - F.col("left")).cast("double"), F.abs(F.col("v") - F.col("up")).cast("double")
-    grid = lambda c, d: F.when(F.col(c) % 8 == 0, d)
-    rest = lambda c, d: F.when(F.col(c) % 8 != 0, d)
-    both = lambda f: (F.sum(f("x", dx)) + F.sum(f("y", dy))) / (F.count(f("x", dx)) + F.count(f("y", dy)))
-    big = F.max((F.col("w") >= 32) & (F.col("h") >= 32))
-    return near.groupBy("image_id").agg((big & (both(grid) > both(rest) * 1.3)).alias("artifacts"))
+def artifacts(df: DataFrame) -> DataFrame:
+    """Whether steps across the 8-pixel grid are over 1.3 times as large as others, in luma images of 32 pixels and more."""
+    return measured(df, lambda x: {"artifacts": measures.artifacts(x[..., 0])}, "artifacts boolean")
 
 
 def sharpness(v: Column) -> Column:
@@ -135,14 +163,25 @@ def grade(score: Column) -> Column:
     return out.otherwise("F")
 
 
-def quality(px: DataFrame) -> DataFrame:
-    """Scores, grade and issues of each RGB image (r, g, b, x, y, w, h)."""
-    luma = F.floor(F.col("r") * 0.2126 + F.col("g") * 0.7152 + F.col("b") * 0.0722 + F.lit(0.5)).cast("int")
-    gray = px.select("image_id", "x", "y", "w", "h", luma.alias("v"))
-    near = neighbours(gray)
-    out = px.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
-    for part in (tone(histogram(gray)), laplacian(near), noise(gray), color_metrics(px), color_cast(px), artifacts(near), edge_density(near)):
-        out = out.join(part, "image_id")
+def _quality(rgb: np.ndarray) -> dict[str, np.ndarray]:
+    luma, mean = measures.luma(rgb), measures.means(rgb)
+    return {
+        "w": np.full(len(rgb), rgb.shape[2]),
+        "h": np.full(len(rgb), rgb.shape[1]),
+        **{k: v for k, v in measures.tone(luma).items() if k in ("low", "high", "mean", "deviation")},
+        "laplacian": measures.laplacian(luma),
+        "noise": measures.noise(luma),
+        "artifacts": measures.artifacts(luma),
+        **measures.colors(rgb),
+        **{c: mean[:, k] for k, c in enumerate("rgb")},
+    }
+
+
+def quality(df: DataFrame) -> DataFrame:
+    """Scores, grade and issues of each RGB image; all measures are taken in the image's own row, so nothing is shuffled."""
+    out = measured(df, _quality, "w int, h int, low int, high int, mean double, deviation double, laplacian double, noise double, artifacts boolean, saturation double, hue_variety double, r double, g double, b double")
+    out = out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "laplacian", "noise", "saturation", "hue_variety")})
+    out = out.withColumn("color_cast", cast_name(15.0))
     first = F.when(F.col("low") >= 1, F.col("low")).otherwise(F.lit(1))
     out = out.withColumns({
         "sharpness": sharpness(F.col("laplacian")),
@@ -158,9 +197,21 @@ def quality(px: DataFrame) -> DataFrame:
     return out.select("image_id", *(F.round(n, 4).alias(n) for n in numbers), grade(F.round("score", 4)).alias("grade"), found.alias("issues"))
 
 
+#: Steps of a score's first sort, in hundredths of a point: as many rows at most go through one window.
+STEPS = 100
+
+
 def rank(report: DataFrame) -> DataFrame:
-    """Reports with their place by score, ties by image_id. The total order needs a sort, but no single partition."""
-    return report.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "image_id")).cast("long"))
+    """Reports with their place by score, ties by image_id.
+
+    Places are those within a step of the score and those of all higher steps, which are counted; so one task orders a step's
+    rows and only the counts of at most 10,001 steps meet in one.
+    """
+    rows = report.withColumn("step", F.floor(F.col("score") * STEPS))
+    above = W.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("step").agg(F.count(F.lit(1)).alias("n")).select("step", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    inside = F.row_number().over(W.partitionBy("step").orderBy(F.desc("score"), "image_id"))
+    return rows.withColumn("inside", inside).join(F.broadcast(counts), "step").withColumn("place", (F.col("inside") + F.col("above")).cast("long")).drop("step", "inside", "above")
 
 
 def best(report: DataFrame, n: int = 1) -> DataFrame:
@@ -172,34 +223,48 @@ def recommendations(report: DataFrame) -> DataFrame:
     return report.withColumn("recommendations", F.transform(F.filter(F.split("issues", ","), lambda i: i != ""), lambda i: texts[i]))
 
 
-def compare(left: DataFrame, right: DataFrame, *channels: str) -> DataFrame:
-    """Mean square error, PSNR (null where equal), differing pixels and greatest difference of images of one id."""
-    keys = ["image_id", "x", "y"]
-    rows = left.select(*keys, *channels).join(right.select(*keys, *(F.col(c).alias(f"{c}_2") for c in channels)), keys)
-    diffs = [F.abs(F.col(c) - F.col(f"{c}_2")) for c in channels]
-    square = sum((d * d for d in diffs[1:]), diffs[0] * diffs[0]).cast("double")
-    most = F.greatest(*diffs) if len(diffs) > 1 else diffs[0]
-    out = rows.groupBy("image_id").agg((F.sum(square) / (F.count(F.lit(1)) * len(channels))).alias("mse"), F.count(F.when(most > 0, 1)).alias("differing"), F.max(most).alias("max_delta"))
+def _pairs(left: DataFrame, right: DataFrame, f: Callable[[np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
+    """f of the planes, as (channels, pixels), of images of one id and size: one join of images, not of pixels."""
+    right = right.select("image_id", F.col("w").alias("w2"), F.col("h").alias("h2"), F.col("planes").alias("other"))
+    rows = left.join(right, "image_id").where("w = w2 and h = h2 and size(planes) = size(other)").select("image_id", "planes", "other")
+    kinds = arrow_schema("image_id long, " + schema)
+
+    def run(batches):
+        for batch in batches:
+            found = [f(plane_values(batch.column(1), np.array([k]))[0], plane_values(batch.column(2), np.array([k]))[0]) for k in range(batch.num_rows)]
+            columns = zip(*found) if found else [[]] * (len(kinds) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds.field(k + 1).type) for k, c in enumerate(columns))], schema=kinds)
+
+    return rows.mapInArrow(run, "image_id long, " + schema)
+
+
+def compare(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Mean square error, PSNR (null where equal), differing pixels and greatest difference of images of one id and size."""
+    out = _pairs(left, right, lambda a, b: (measures.differences(a, b)[0] / a.size, *measures.differences(a, b)[1:]), "mse double, differing long, max_delta int")
     psnr = F.when(F.col("mse") > 0, 10 * F.log10(F.lit(255.0 * 255.0) / F.col("mse")))
     return out.select("image_id", F.round("mse", 6).alias("mse"), F.round(psnr, 6).alias("psnr"), "differing", "max_delta")
 
 
 def global_ssim(left: DataFrame, right: DataFrame) -> DataFrame:
     """SSIM of whole luma images in one window, with sample variances."""
-    keys = ["image_id", "x", "y"]
-    rows = left.select(*keys, F.col("v").cast("double").alias("a")).join(right.select(*keys, F.col("v").cast("double").alias("b")), keys)
-    m = rows.groupBy("image_id").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cov"))
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    ssim = ((2 * F.col("ma") * F.col("mb") + c1) * (2 * F.col("cov") + c2)) / ((F.col("ma") * F.col("ma") + F.col("mb") * F.col("mb") + c1) * (F.col("va") + F.col("vb") + c2))
-    return m.select("image_id", F.round(ssim, 6).alias("ssim"))
+    out = _pairs(left, right, lambda a, b: (measures.ssim(a[0], b[0]),), "ssim double")
+    return out.select("image_id", F.round("ssim", 6).alias("ssim"))
+
+
+#: Frame numbers of a block, whose frames one window orders; only a block's last frame is seen by the next block.
+BLOCK = 1024
 
 
 def scene_changes(frames: DataFrame, threshold: float) -> DataFrame:
     """Frames (frame_no, w, h, planes of RGB) that differ from the one before: every 8th pixel, mean difference over 255."""
     w = F.col("w")
     places = F.filter(F.sequence(F.lit(0), w * F.col("h") - 1), lambda i: (i % w % 8 == 0) & (F.floor(i / w) % 8 == 0))
-    small = frames.select("frame_no", F.transform("planes", lambda p: F.transform(places, lambda i: F.get(p, i))).alias("p"))
-    pairs = small.withColumn("before", F.lag("p").over(W.orderBy("frame_no"))).where("before is not null")
+    small = frames.select("frame_no", F.transform("planes", lambda p: F.transform(places, lambda i: F.get(p, i))).alias("p"), F.floor(F.col("frame_no") / BLOCK).alias("block"))
+    last = small.groupBy("block").agg(F.max("frame_no").alias("frame_no"), F.max_by("p", "frame_no").alias("p"))
+    after = last.select("block").withColumn("next", F.lead("block").over(W.orderBy("block"))).where("next is not null")
+    edges = last.join(after, "block").select("frame_no", "p", F.col("next").alias("block"))
+    rows = small.withColumn("own", F.lit(True)).unionByName(edges.withColumn("own", F.lit(False)))
+    pairs = rows.withColumn("before", F.lag("p").over(W.partitionBy("block").orderBy("frame_no"))).where("own and before is not null")
     diff = F.aggregate(F.flatten(F.zip_with("p", "before", lambda a, b: F.zip_with(a, b, lambda u, v: F.abs(u - v)))), F.lit(0).cast("bigint"), lambda s, v: s + v)
     share = diff / F.size(F.flatten("p")) / 255.0
     return pairs.select("frame_no", F.round(share, 6).alias("difference"), (share > threshold).alias("scene_change"))
@@ -216,16 +281,16 @@ def adaptive_binarize(df: DataFrame, thresholds: DataFrame, block: int = 31) ->
     return rows.select("image_id", "w", "h", F.array(out).alias("planes"))
 
 
-def skew_angle(edges: DataFrame, step: int = 1) -> DataFrame:
-    """The angle from -90 to 89 whose Hough line gathers most edge pixels (image_id, x, y), and its share of them.
+def skew_angle(edges: DataFrame, threshold: int = 0, step: int = 1) -> DataFrame:
+    """The angle from -90 to 89 whose Hough line gathers most of the pixels above threshold, and its share of them.
 
-    Votes are by (angle, rho): one row for each pixel and angle before the partial counts, as many as the angles at most.
+    Votes are counted in the image's own row. Images without such a pixel have no row.
     compat: engines that leave rho out always find 0.
     """
-    votes = edges.withColumn("theta", F.explode(F.sequence(F.lit(-90), F.lit(89), F.lit(step))))
-    turn = F.radians(F.col("theta").cast("double"))
-    rho = F.floor(F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn) + F.lit(0.5 + 1e-9)).cast("int")
-    lines = votes.groupBy("image_id", "theta", rho.alias("rho")).agg(F.count(F.lit(1)).alias("n"))
-    total = edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
-    named = lines.groupBy("image_id").agg(F.max_by("theta", F.struct("n", -F.abs("theta"), -F.col("theta"))).alias("angle"), F.max("n").alias("votes"))
-    return named.join(total, "image_id").select("image_id", "angle", "votes", F.round(F.col("votes") / F.col("total"), 6).alias("confidence"))
+
+    def vote(stack: np.ndarray) -> dict[str, np.ndarray]:
+        found = np.array([measures.hough(image > threshold, step) for image in stack[..., 0]])
+        return {"angle": found[:, 0], "votes": found[:, 1], "total": found[:, 2]}
+
+    out = measured(edges, vote, "angle int, votes long, total long").where("total > 0")
+    return out.select("image_id", "angle", "votes", F.round(F.col("votes") / F.col("total"), 6).alias("confidence"))

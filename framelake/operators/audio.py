@@ -133,7 +133,7 @@ def separate(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], chunk: in
 def without_vocals(stems: DataFrame) -> DataFrame:
     """The sum of all stems but the vocals."""
     rest = stems.where("stem <> 'vocals'").groupBy("clip_id").agg(F.collect_list("samples").alias("all"))
-    total = F.aggregate(F.slice("all", 2, 1000), F.col("all")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    total = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.col("all")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     return rest.select("clip_id", total.alias("samples"))
 
 

@@ -96,10 +96,26 @@ def depth_blur(df: DataFrame, depth: Column, focus: float, strength: float) -> D
     return df.withColumn("planes", let(depth, lambda depths: F.transform("planes", lambda p: plane(p, depths))))
 
 
-def subtitle_box(px: DataFrame, cues: DataFrame, top: float = 0.9, char_width: float = 0.55, font: float = 0.05) -> DataFrame:
-    """Pixels of frames (frame_id, t, w, h, x, y, v) with a filled box where a cue is active; boxes, not glyphs."""
-    active = px.join(cues, (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")), "left")
-    size = F.col("h") * F.lit(font)
-    half = F.length("text") * size * F.lit(char_width) / F.lit(2.0)
-    hit = (F.abs(F.col("x") - F.col("w") / F.lit(2.0)) <= half) & (F.abs(F.col("y") - F.col("h") * F.lit(top)) <= size / F.lit(2.0))
-    return active.withColumn("v", F.when(F.col("text").isNotNull() & hit, 255).otherwise(F.col("v")))
+def subtitle_box(frames: DataFrame, cues: DataFrame, top: float = 0.9, char_width: float = 0.55, font: float = 0.05, width: float = 10.0) -> DataFrame:
+    """Frames (image_id, t, w, h, planes), one row for each active cue (start, end, text), with a filled box; boxes, not glyphs.
+
+    Cues are dealt to the time slots of width seconds they touch, so frames meet them by an equi-join; a frame without a
+    cue stays as it is.
+    """
+    slots = cues.select("start", "end", "text", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("s2"))
+    rows = frames.withColumn("slot", F.floor(F.col("t") / width))
+    rows = rows.join(slots, (F.col("slot") == F.col("s2")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")), "left")
+    w, h = F.col("w"), F.col("h")
+    size = h * F.lit(font)
+
+    def paint(box: Column) -> Column:
+        def at(v: Column, i: Column) -> Column:
+            x, y = i % w, F.floor(i / w).cast("int")
+            hit = (F.abs(x - w / F.lit(2.0)) <= box["half"]) & (F.abs(y - h * F.lit(top)) <= box["tall"])
+            return F.when(hit, 255).otherwise(v)
+
+        return F.transform("planes", lambda p: F.transform(p, at))
+
+    box = F.struct((F.length("text") * size * F.lit(char_width) / F.lit(2.0)).alias("half"), (size / F.lit(2.0)).alias("tall"))
+    painted = F.when(F.col("text").isNotNull(), let(box, paint)).otherwise(F.col("planes"))
+    return rows.withColumn("planes", painted).drop("slot", "s2")

@@ -83,8 +83,7 @@ def process(df: DataFrame, config: DocumentConfig | None = None) -> DataFrame:
     """Luma scans through deskewing, border removal, binarisation and enhancement, as far as the settings ask."""
     config = config or DocumentConfig()
     if config.deskew:
-        edges = pixels(neighbourhood.sobel_edges(df)).where("v > 0").select("image_id", "x", "y")
-        df = deskew(df, analysis.skew_angle(edges).select("image_id", "angle", "confidence"))
+        df = deskew(df, analysis.skew_angle(neighbourhood.sobel_edges(df)).select("image_id", "angle", "confidence"))
     if config.margin >= 0:
         df = remove_borders(df, config.margin)
     if config.binarize:

@@ -42,7 +42,7 @@ def parse_srt(files: DataFrame) -> DataFrame:
     rows = blocks.withColumn("l", _lines(F.col("block"))).where(F.size("l") >= 3)
     rows = rows.withColumn("times", F.split(F.col("l")[1], "-->")).where(F.size("times") == 2)
     start, end = F.col("times")[0], F.col("times")[1]
-    text = t.strip_tags(F.array_join(F.slice("l", 3, 1_000_000), "\n"))
+    text = t.strip_tags(F.array_join(F.slice("l", F.lit(3), F.size("l")), "\n"))
     return rows.select("track_id", F.coalesce(F.trim(F.col("l")[0]).try_cast("bigint"), F.lit(0)).alias("idx"), _checked(t.parse_time(start), "SRT start", start).alias("start"), _checked(t.parse_time(end), "SRT end", end).alias("end"), text.alias("text"))
 
 
@@ -53,7 +53,7 @@ def parse_vtt(files: DataFrame) -> DataFrame:
     rows = blocks.withColumn("l", _lines(F.col("block"))).withColumn("at", F.array_position(F.transform("l", lambda s: F.contains(s, F.lit("-->"))), True).cast("int")).where("at > 0")
     rows = rows.withColumn("times", F.split(F.element_at("l", F.col("at")), "-->")).where(F.size("times") == 2)
     start, end = F.trim(F.col("times")[0]), F.split(F.trim(F.col("times")[1]), r"\s+")[0]
-    text = t.strip_tags(F.array_join(F.slice("l", F.col("at") + 1, F.lit(1_000_000)), "\n"))
+    text = t.strip_tags(F.array_join(F.slice("l", F.col("at") + 1, F.size("l")), "\n"))
     idx = F.row_number().over(W.partitionBy("track_id").orderBy("ord")).cast("bigint")
     return rows.select("track_id", idx.alias("idx"), _checked(t.parse_time(start), "VTT start", start).alias("start"), _checked(t.parse_time(end), "VTT end", end).alias("end"), text.alias("text"))
 

@@ -69,7 +69,7 @@ def density_sql(of: str, size: int) -> str:
 
 
 def noise_sql(of: str, size: int) -> str:
-    return f"SELECT image_id, round(coalesce(least(100, sqrt(greatest(0, min(CASE WHEN bx * 8 < {size - 8} AND b2 * 8 < {size - 8} THEN k END))) * 10), 100), 6) AS noise FROM (SELECT image_id, x // 8 AS bx, y // 8 AS b2, avg(v * v) - avg(v) * avg(v) AS k FROM {of} GROUP BY ALL) GROUP BY image_id"
+    return f"SELECT image_id, round(CASE WHEN min(CASE WHEN bx * 8 < {size - 8} AND b2 * 8 < {size - 8} THEN k END) IS NULL THEN 100 ELSE least(100, sqrt(greatest(0, min(CASE WHEN bx * 8 < {size - 8} AND b2 * 8 < {size - 8} THEN k END))) * 10) END, 6) AS noise FROM (SELECT image_id, x // 8 AS bx, y // 8 AS b2, avg(v * v) - avg(v) * avg(v) AS k FROM {of} GROUP BY ALL) GROUP BY image_id"
 
 
 def artifacts_sql(of: str, size: int) -> str:
@@ -79,12 +79,12 @@ def artifacts_sql(of: str, size: int) -> str:
 
 @query("laplacian_ms", laplacian_sql("{gray8}"))
 def laplacian_ms(spark, sf_dir):
-    return a.laplacian(a.neighbours(gray(spark, sf_dir)))
+    return a.laplacian(model.gray8(spark, sf_dir))
 
 
 @query("edge_density", density_sql("{gray8}", 8))
 def edge_density(spark, sf_dir):
-    return a.edge_density(a.neighbours(gray(spark, sf_dir)))
+    return a.edge_density(model.gray8(spark, sf_dir))
 
 
 @query("noise_blocks", noise_sql("{gray32}", 32))
@@ -94,7 +94,7 @@ def noise_blocks(spark, sf_dir):
 
 @query("artifacts", artifacts_sql("{gray32}", 32))
 def artifacts(spark, sf_dir):
-    return a.artifacts(a.neighbours(gray32(spark, sf_dir)))
+    return a.artifacts(model.gray32(spark, sf_dir))
 
 
 HUE = "(SELECT *, greatest(r, g, b) AS t, CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE) AS d FROM {rgb8})"
@@ -130,7 +130,7 @@ FROM s"""
 
 @query("quality_report", QUALITY)
 def quality_report(spark, sf_dir):
-    return a.quality(rgb(spark, sf_dir))
+    return a.quality(model.rgb8(spark, sf_dir))
 
 
 @query("quality_rank", f"SELECT image_id, score, row_number() OVER (ORDER BY score DESC, image_id) AS place FROM ({QUALITY})")
@@ -153,14 +153,15 @@ SHIFTED = "(SELECT image_id, x, y, least(255, r + 9) AS r, g, 255 - b AS b FROM
 
 @query("compare_images", f"SELECT image_id, round(mse, 6) AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(65025.0::DOUBLE / mse) END, 6) AS psnr, differing, max_delta FROM (SELECT a.image_id, sum(pow(a.r - s.r, 2) + pow(a.g - s.g, 2) + pow(a.b - s.b, 2)) / CAST(count(*) * 3 AS DOUBLE) AS mse, count(*) FILTER (a.r <> s.r OR a.g <> s.g OR a.b <> s.b) AS differing, max(greatest(abs(a.r - s.r), abs(a.g - s.g), abs(a.b - s.b))) AS max_delta FROM {{rgb8}} a JOIN {SHIFTED} s USING (image_id, x, y) GROUP BY a.image_id)")
 def compare_images(spark, sf_dir):
-    px = rgb(spark, sf_dir)
-    return a.compare(px, px.withColumns({"r": F.least(F.lit(255), F.col("r") + 9), "b": F.lit(255) - F.col("b")}), "r", "g", "b")
+    df = model.rgb8(spark, sf_dir)
+    p = F.col("planes")
+    return a.compare(df, df.withColumn("planes", F.array(F.transform(p[0], lambda v: F.least(F.lit(255), v + 9)), p[1], F.transform(p[2], lambda v: F.lit(255) - v))))
 
 
 @query("ssim_flipped", "SELECT image_id, round(((2 * ma * mb + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE)) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (va + vb + 58.5225::DOUBLE)), 6) AS ssim FROM (SELECT a.image_id, avg(a.v) AS ma, avg(b.v) AS mb, var_samp(a.v) AS va, var_samp(b.v) AS vb, covar_samp(a.v, b.v) AS cov FROM {gray8} a JOIN {gray8} b ON a.image_id = b.image_id AND a.x = 7 - b.x AND a.y = b.y GROUP BY a.image_id)")
 def ssim_flipped(spark, sf_dir):
     df = model.gray8(spark, sf_dir)
-    return a.global_ssim(model.pixels(df), model.pixels(geometry.flip_horizontal(df)))
+    return a.global_ssim(df, geometry.flip_horizontal(df))
 
 
 @query("adaptive_binarize", f"SELECT a.image_id, a.x, a.y, CASE WHEN a.v > greatest(0, (CAST(floor(avg(b.v) + 1e-9) AS BIGINT) + any_value(threshold)) // 2 - 5) THEN 255 ELSE 0 END AS v FROM {{gray8}} a JOIN {{gray8}} b ON b.image_id = a.image_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 JOIN ({OTSU}) o ON o.image_id = a.image_id GROUP BY a.image_id, a.x, a.y, a.v")
@@ -181,4 +182,4 @@ def scene_change(spark, sf_dir):
 
 @query("skew_hough", "WITH e AS (SELECT image_id, x, y FROM {gray32} WHERE v > 200), l AS (SELECT image_id, theta, CAST(floor(y * cos(radians(CAST(theta AS DOUBLE))) - x * sin(radians(CAST(theta AS DOUBLE))) + 0.5 + 1e-9) AS INTEGER) AS rho, count(*) AS n FROM e, (SELECT unnest(range(-90, 90)) AS theta) GROUP BY ALL) SELECT image_id, CAST(arg_max(theta, (n, -abs(theta), -theta)) AS INTEGER) AS angle, max(n) AS votes, round(max(n) / CAST((SELECT count(*) FROM e WHERE e.image_id = l.image_id) AS DOUBLE), 6) AS confidence FROM l GROUP BY image_id")
 def skew_hough(spark, sf_dir):
-    return a.skew_angle(gray32(spark, sf_dir).where("v > 200").select("image_id", "x", "y"))
+    return a.skew_angle(model.gray32(spark, sf_dir), 200)

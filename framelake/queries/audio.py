@@ -126,18 +126,18 @@ recurrent("delay", recursive("e AS (SELECT clip_id, i, s, s AS z FROM {sig} WHER
 recurrent("reverb", None, "reverb", room=0.8, damping=0.3, wet=0.4, pre_delay_ms=3)
 recurrent("chorus", None, "chorus")
 recurrent("flanger", None, "flanger")
-SHORT = "(SELECT clip_id, i, s, n FROM (SELECT *, least(32, count(*) OVER (PARTITION BY clip_id)) AS n FROM {sig}) WHERE i < n AND n >= 2)"
+SHORT = "(SELECT clip_id, i, s, n FROM (SELECT *, least(2048, count(*) OVER (PARTITION BY clip_id)) AS n FROM {sig}) WHERE i < n AND n >= 2)"
 DFT = f"SELECT clip_id, CAST(k AS INTEGER) AS k, sqrt(pow(sum(s * h * cos({2 * math.pi!r}::DOUBLE * k * i / n)), 2) + pow(sum(s * h * sin({2 * math.pi!r}::DOUBLE * k * i / n)), 2)) AS magnitude FROM (SELECT *, 0.5 * (1 - cos({2 * math.pi!r}::DOUBLE * i / greatest(1, n - 1))) AS h, unnest(range(n // 2)) AS k FROM {SHORT}) GROUP BY 1, 2"
 
 
 @query("spectrum_dft", f"SELECT clip_id, k, round(magnitude, 5) AS magnitude FROM ({DFT})")
 def spectrum_dft(spark, sf_dir):
-    return a.spectra(model.clips(spark, sf_dir), 32).withColumn("magnitude", F.round("magnitude", 5))
+    return a.spectra(model.clips(spark, sf_dir)).withColumn("magnitude", F.round("magnitude", 5))
 
 
 @query("spectrum_bins", f"WITH m AS ({DFT}), c AS (SELECT clip_id, max(k) + 1 AS m FROM m GROUP BY 1), b AS (SELECT clip_id, m, j, CASE WHEN m > 1 THEN CAST(floor(exp(j / 4.0::DOUBLE * ln(m)) + 1e-9) AS BIGINT) ELSE 0 END AS lo, CASE WHEN m > 1 THEN CAST(floor(exp((j + 1) / 4.0::DOUBLE * ln(m)) + 1e-9) AS BIGINT) ELSE 0 END AS hi FROM c, (SELECT unnest(range(4)) AS j)) SELECT b.clip_id, CAST(j AS INTEGER) AS k, round(avg(magnitude), 5) AS magnitude FROM b JOIN m ON m.clip_id = b.clip_id AND m.k >= least(lo, m - 1) AND m.k < greatest(least(lo, m - 1) + 1, hi) GROUP BY 1, 2")
 def spectrum_bins(spark, sf_dir):
-    return a.spectra(model.clips(spark, sf_dir), 32, 4).withColumn("magnitude", F.round("magnitude", 5))
+    return a.spectra(model.clips(spark, sf_dir), bins=4).withColumn("magnitude", F.round("magnitude", 5))
 
 
 @query("spectrogram")

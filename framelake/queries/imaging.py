@@ -102,6 +102,6 @@ add("depth_blur", f"SELECT a.image_id, a.x, a.y, CAST(sum(b.v) // count(*) AS IN
 @query("subtitle_burn_in", """WITH f AS (SELECT image_id, image_id % 40 AS t, x, y, v FROM {gray8}), u AS (SELECT * FROM {cue} WHERE track_id = 0)
 SELECT f.image_id, f.x, f.y, CASE WHEN text IS NOT NULL AND abs(x - 4) <= length(text) * 0.4::DOUBLE * 0.55 / 2 AND abs(y - 7.2::DOUBLE) <= 0.2 THEN 255 ELSE v END AS v FROM f LEFT JOIN u ON t >= "start" AND t < "end" """)
 def subtitle_burn_in(spark, sf_dir):
-    px = model.pixels(model.gray8(spark, sf_dir)).withColumn("t", F.col("image_id") % 40)
+    frames = model.gray8(spark, sf_dir).withColumn("t", F.col("image_id") % 40)
     track = model.cues(spark, sf_dir).where("track_id = 0").select("start", "end", "text")
-    return c.subtitle_box(px, track).select(*OUT)
+    return model.pixels(c.subtitle_box(frames, track)).select(*OUT)

@@ -52,9 +52,9 @@ def transcode_fade_gain(spark, sf_dir):
     return v.fade_gain(model.packets(spark, sf_dir), 30, 0.4, 0.7).select("source", "i", F.round("gain", 6).alias("gain"))
 
 
-@query("sequence_missing", "SELECT CAST(f AS BIGINT) AS frame_no FROM (SELECT unnest(range(1, 1001)) AS f) WHERE f NOT IN (SELECT frame_no FROM {seq})")
+@query("sequence_missing", "SELECT CAST(f AS BIGINT) AS frame_no FROM (SELECT unnest(range(min(frame_no), max(frame_no) + 1)) AS f FROM {seq}) WHERE f NOT IN (SELECT frame_no FROM {seq})")
 def sequence_missing(spark, sf_dir):
-    return v.missing_frames(model.sequence(spark, sf_dir), 1, 1000)
+    return v.missing_frames(model.sequence(spark, sf_dir))
 
 
 @query("sequence_info", "SELECT count(*) AS frames, min(frame_no) AS first, max(frame_no) AS last, arg_min(width, frame_no) AS width, arg_min(height, frame_no) AS height FROM {seq}")
