@@ -23,6 +23,12 @@ def session(path: str):
 
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = 1
+    if "://" in path:  # a store that only the file system layer reads
+        import pyarrow.fs
+
+        fs, place = pyarrow.fs.FileSystem.from_uri(path)
+        with fs.open_input_stream(place) as f:
+            path = f.read()
     return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
 
 
