@@ -30,8 +30,8 @@ MAGIC = b"WVL2"
 BLOCK = 1 << 15
 #: A file is closed at the first document that brings it to so many ids: what a task holds at once.
 SHARD_IDS = 1 << 23
-#: Bytes of text for each range of ids that a task writes.
-RANGE_BYTES = 1 << 27
+#: Bytes of text for each range of ids that a task writes, where the session's shuffle partitions would give it more.
+RANGE_BYTES = 1 << 29
 _POPCOUNT = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     path = path or vocabulary("byte_bpe_50k.json")
     docs = named(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     docs = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
