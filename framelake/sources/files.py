@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timecode
-from ..kernels import codecs
+from ..kernels import codecs, containers
 
 IMAGE = "path string, w int, h int, channels int, data binary, error string"
 AUDIO = "path string, sample_rate int, channels int, samples array<double>, error string"
@@ -29,6 +29,10 @@ def decode_image(data: bytes) -> np.ndarray:
     raise ValueError("unsupported image format")
 
 
+#: The fields of an image in compact form, in Arrow.
+IMAGE_FIELDS = [("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()), ("data", pa.binary()), ("error", pa.string())]
+
+
 def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """PNG, BMP and PPM files in compact form; a file that can't be read has its error instead."""
 
@@ -40,7 +44,7 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
                     row = {"path": name, "w": image.shape[1], "h": image.shape[0], "channels": image.shape[2], "data": image.tobytes(), "error": None}
                 except Exception as error:  # noqa: BLE001  a bad file is a result
                     row = {"path": name, "w": None, "h": None, "channels": None, "data": None, "error": str(error)}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()), ("data", pa.binary()), ("error", pa.string())]))
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), *IMAGE_FIELDS]))
 
     return _binary(spark, path, glob).select("path", "content").mapInArrow(run, IMAGE)
 
@@ -60,13 +64,46 @@ def images(compact: DataFrame) -> DataFrame:
     return compact.withColumn("image_id", F.xxhash64("path")).mapInArrow(run, "image_id long, w int, h int, planes array<array<int>>")
 
 
-def read_audio(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+def map_images(compact: DataFrame, f, threads: int = 1) -> DataFrame:
+    """Images in compact form through a kernel of (h, w, c) uint8 arrays, such as those of kernels.image; errors stay and become rows."""
+    names = compact.columns
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["error"] is None:
+                    try:
+                        image = f(np.frombuffer(row["data"], np.uint8).reshape(row["h"], row["w"], row["channels"]))
+                        row |= {"w": image.shape[1], "h": image.shape[0], "channels": image.shape[2], "data": np.ascontiguousarray(image).tobytes()}
+                    except Exception as error:  # noqa: BLE001  a bad image is a result
+                        row |= {"w": None, "h": None, "channels": None, "data": None, "error": f"{type(error).__name__}: {error}"[:300]}
+                yield pa.RecordBatch.from_pylist([row], batch.schema)
+
+    return compact.select(*names).mapInArrow(run, compact.schema)
+
+
+def encode_compact(compact: DataFrame, kind: str) -> DataFrame:
+    """path and the encoded file of images in compact form; rows with an error go."""
+    if kind not in ENCODERS:
+        raise ValueError(f"unsupported format {kind}")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["data"], np.uint8).reshape(row["h"], row["w"], row["channels"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([ENCODERS[kind](image)], pa.binary())], ["path", "content"])
+
+    return compact.where("error is null").mapInArrow(run, "path string, content binary")
+
+
+def read_audio(spark: SparkSession, path: str, glob: str = "*.{wav,flac}") -> DataFrame:
+    """WAV and FLAC files; a file that can't be read has its error instead."""
     def run(batches):
         schema = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("samples", pa.list_(pa.float64())), ("error", pa.string())])
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rate, channels, samples = codecs.read_wav(data)
+                    rate, channels, samples = containers.read_flac(data) if data[:4] == b"fLaC" else codecs.read_wav(data)
                     row = {"path": name, "sample_rate": rate, "channels": channels, "samples": samples.tolist(), "error": None}
                 except Exception as error:  # noqa: BLE001
                     row = {"path": name, "sample_rate": None, "channels": None, "samples": None, "error": str(error)}
@@ -92,11 +129,18 @@ def numbered(spark: SparkSession, pattern: str, start: int | None = None, end: i
     if not m:
         raise ValueError("the pattern has no number")
     digits = "[0-9]+" if m[0] == "{}" else f"[0-9]{{{int(m[1] or 4)},}}"
-    shape = re.escape(name[: m.start()]) + f"({digits})" + re.escape(name[m.end() :]) + "$"
-    rows = _binary(spark, folder).withColumn("frame_no", F.regexp_extract("path", shape, 1).try_cast("bigint")).where("frame_no is not null")
-    rows = rows.where(F.col("frame_no") >= start) if start is not None else rows
-    rows = rows.where(F.col("frame_no") <= end) if end is not None else rows
-    return rows.select("frame_no", "path", "content")
+    shape = re.compile(re.escape(name[: m.start()]) + f"({digits})" + re.escape(name[m.end() :]) + "$")
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    listed = [(int(found[1]), f.path) for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.is_file and (found := shape.match(f.base_name))]
+    chosen = [(n, at) for n, at in listed if (start is None or n >= start) and (end is None or n <= end)]
+    schema = "frame_no long, path string, content binary"
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    scheme = folder.partition("://")[0] + "://" if "://" in folder else "file://"
+    # only the chosen files are read
+    rows = spark.read.format("binaryFile").load([scheme + at for _, at in chosen])
+    number = F.regexp_extract("path", shape.pattern, 1).cast("bigint")
+    return rows.select(number.alias("frame_no"), "path", "content")
 
 
 def encode_images(df: DataFrame, kind: str) -> DataFrame:
@@ -124,6 +168,30 @@ def encode_wav(df: DataFrame, rate: int, channels: int = 1, bits: int = 16, floa
     return df.select("clip_id", "samples").mapInArrow(run, "clip_id long, content binary")
 
 
+def encode_flac(df: DataFrame, rate: int, channels: int = 1, bits: int = 16) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            out = [containers.write_flac(np.array(s or [], float), rate, channels, bits) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["clip_id", "content"])
+
+    return df.select("clip_id", "samples").mapInArrow(run, "clip_id long, content binary")
+
+
+def audio_of(packets: DataFrame) -> DataFrame:
+    """The plain PCM audio of containers as one clip for each source: source, hz, channels, samples."""
+    rows = packets.where("kind = 'auds'").groupBy("source", "stream_index", "hz", "channels").agg(F.array_sort(F.collect_list(F.struct("dts", "i", "data"))).alias("parts"))
+
+    def run(batches):
+        kinds = pa.schema([("source", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("samples", pa.list_(pa.float64()))])
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = b"".join(p["data"] for p in row["parts"])
+                values = np.frombuffer(raw, "<i2", len(raw) // 2) / 32767.0
+                yield pa.RecordBatch.from_pylist([{"source": row["source"], "sample_rate": row["hz"], "channels": row["channels"], "samples": values.tolist()}], kinds)
+
+    return rows.mapInArrow(run, "source string, sample_rate int, channels int, samples array<double>")
+
+
 def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
     """Writes a file for each row, whole or not at all; gives name and bytes. folder is one that all executors share."""
 
