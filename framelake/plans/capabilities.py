@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-READ = ("png", "bmp", "ppm", "wav", "ivf", "avi", "srt", "vtt", "ass", "exif", "ogg")
-WRITE = ("png", "bmp", "ppm", "gif", "svg", "wav", "ivf", "ogg", "srt", "vtt", "ass")
-WITHOUT_CODEC = ("jpeg", "webp", "av1", "h264", "opus", "flac", "mp3", "aac", "vorbis", "mp4", "mkv")
-OPERATIONS = ("transcode", "trim", "concat", "frames", "filter", "text", "info")
+from .jobs import OPERATIONS
+
+READ = ("png", "bmp", "ppm", "wav", "flac", "ivf", "avi", "mp4", "mkv", "srt", "vtt", "ass", "exif", "ogg")
+WRITE = ("png", "bmp", "ppm", "gif", "svg", "wav", "flac", "ivf", "mp4", "ogg", "srt", "vtt", "ass")
+#: Formats whose pictures or sounds can't be decoded or encoded; their packets can be cut and joined in the containers above.
+WITHOUT_CODEC = ("jpeg", "webp", "av1", "opus", "mp3", "aac", "vorbis")
 
 
 def report(spark: SparkSession) -> DataFrame:

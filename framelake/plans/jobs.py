@@ -1,4 +1,7 @@
-"""Job specs: a JSON document becomes a DataFrame plan over images or packets; nothing runs until its result is read."""
+"""Job specs: a JSON document becomes a DataFrame plan over images, packets or clips, and run() writes its files.
+
+plan() gives the rows that a job would write; run() writes them and says so only when all files are there.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window as W
+
 from ..functions import color
-from ..operators import geometry, neighbourhood, timeline
+from ..kernels import codecs, containers
+from ..operators import annotate, geometry, neighbourhood, timeline
 
-OPERATIONS = ("filter", "transcode", "trim", "concat", "frames", "gif", "info", "text")
+#: Operations on images, on packets, and on clips; those with one output file name it, others name a folder.
+IMAGES = ("filter", "convert", "text", "remove_bg", "gif", "encode")
+PACKETS = ("transcode", "trim", "concat", "frames", "thumbnail", "extract_audio", "info")
+OPERATIONS = (*IMAGES, *PACKETS, "audio_encode")
 
 
 @dataclass
@@ -38,6 +49,10 @@ class JobSpec:
     frames: Frames | None = None
     fps: float = 0.0
     speed: float = 1.0
+    format: str | None = None
+    text: dict | None = None
+    model: str | None = None
+    position: str | int = "middle"
 
     def __post_init__(self) -> None:
         if self.operation not in OPERATIONS:
@@ -56,7 +71,7 @@ class JobSpec:
 
     @classmethod
     def template(cls, operation: str) -> str:
-        spec = cls(operation, inputs=["input"], output="output", trim=Trim() if operation in ("trim", "transcode") else None, frames=Frames() if operation == "frames" else None)
+        spec = cls(operation, inputs=["input"], output="output", trim=Trim() if operation in ("trim", "transcode") else None, frames=Frames() if operation == "frames" else None, text={"text": "Hello", "x": 10, "y": 10, "size": 24} if operation == "text" else None, model="model.onnx" if operation == "remove_bg" else None)
         return json.dumps(asdict(spec), indent=2)
 
 
@@ -134,39 +149,74 @@ class Pipeline:
 
 
 def plan(spark: SparkSession, spec: JobSpec, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The DataFrame of a job. inputs gives images or packets by name; other names are read as files."""
+    """The DataFrame of a job. inputs gives images, packets or clips by name; other names are read as files.
+
+    Image operations give image_id, w, h, planes and name; frames and thumbnail give pictures in compact form; trim, concat
+    and transcode give packets of the first video stream; info gives a row for each source.
+    """
     from .. import sources
+    from ..sources import containers as media
+    from ..sources import files
 
     inputs = inputs or {}
 
     def images(name: str) -> DataFrame:
-        return inputs[name] if name in inputs else sources.images(sources.read_images(spark, name))
+        if name in inputs:
+            return inputs[name].withColumn("name", F.col("image_id").cast("string"))
+        compact = sources.read_images(spark, name)
+        names = compact.where("error is null").select(F.xxhash64("path").alias("image_id"), F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"), "path")
+        twin = F.row_number().over(W.partitionBy("name").orderBy("path"))
+        names = names.select("image_id", F.when(twin > 1, F.concat("name", F.lit("-"), twin.cast("string"))).otherwise(F.col("name")).alias("name"))
+        return sources.images(compact).join(names, "image_id")
 
     def packets(name: str) -> DataFrame:
         if name in inputs:
             return inputs[name]
         sources.register(spark)
-        return spark.read.format("media_packets").load(name)
+        rows = spark.read.format("media_packets").load(name)
+        return rows if spec.operation == "extract_audio" else rows.where("kind = 'vids'")
 
-    if not spec.inputs or spec.operation == "concat" and len(spec.inputs) < 2:
-        raise ValueError("too few inputs")
-    if spec.operation in ("filter", "gif", "text"):
-        out = images(spec.inputs[0])
-        for name in spec.inputs[1:]:
-            out = out.unionByName(images(name))
-        return Pipeline(spec.transforms).execute(out)
-    if spec.operation == "concat":
-        parts = [packets(name).withColumn("ord", F.lit(k)) for k, name in enumerate(spec.inputs)]
+    def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
+        return out
+
+    if not spec.inputs or spec.operation == "concat" and len(spec.inputs) < 2:
+        raise ValueError("too few inputs")
+    if spec.operation == "audio_encode":
+        return union([inputs[n] if n in inputs else sources.read_audio(spark, n) for n in spec.inputs])
+    if spec.operation in IMAGES:
+        out = union([images(n) for n in spec.inputs])
+        names = out.select("image_id", "name")
+        out = Pipeline(spec.transforms).execute(out)
+        if spec.operation == "text":
+            settings = dict(spec.text or {})
+            if not settings.get("text"):
+                raise ValueError("text settings are missing")
+            settings["color"] = tuple(settings.get("color", (255, 255, 255)))
+            out = annotate.draw_text(out, settings.pop("text"), **settings)
+        if spec.operation == "remove_bg":
+            from . import models
+
+            if not spec.model:
+                raise ValueError("a model is missing")
+            out = models.remove_background(out, models.load_model(spec.model))
+        if "name" not in out.columns:
+            out = out.join(names, "image_id")
+        return out
+    if spec.operation == "concat":
+        out = union([packets(name).withColumn("ord", F.lit(k)) for k, name in enumerate(spec.inputs)])
         return timeline.concat(out, F.col("ord"))
-    out = packets(spec.inputs[0])
+    out = union([packets(n) for n in spec.inputs])
     if spec.operation == "info":
         return timeline.source_info(out)
-    if spec.operation == "frames":
+    if spec.operation == "extract_audio":
+        return files.audio_of(out)
+    if spec.operation in ("frames", "thumbnail"):
         f = spec.frames or Frames()
-        return timeline.every_nth(out, f.every, f.max_frames)
+        out = timeline.every_nth(out, f.every, f.max_frames) if spec.operation == "frames" else timeline.thumbnail(out, spec.position)
+        return media.frames(out) if "data" in out.columns else out
     if spec.operation == "trim" and spec.trim is None:
         raise ValueError("trim settings are missing")
     if spec.trim:
@@ -178,13 +228,97 @@ def plan(spark: SparkSession, spec: JobSpec, inputs: dict[str, DataFrame] | None
     return out
 
 
+def retimed(packets: DataFrame, speed: float) -> DataFrame:
+    """Packets of a faster or slower stream with times of their own: from 0, evenly, a packet's duration apart."""
+    order = W.partitionBy("source").orderBy("dts", *(["copy"] if "copy" in packets.columns else []))
+    at = ((F.row_number().over(order) - 1) * F.col("duration")).cast("long")
+    return packets.withColumns({"pts": at, "dts": at, "i": F.row_number().over(order).cast("long") - 1}).drop("copy") if speed != 1 else packets
+
+
+def rebased(packets: DataFrame) -> DataFrame:
+    """Packets whose least dts is 0."""
+    first = F.min("dts").over(W.partitionBy("source"))
+    return packets.withColumns({"pts": F.col("pts") - first, "dts": F.col("dts") - first})
+
+
+def one_file(images: DataFrame, path: str, make) -> DataFrame:
+    """A file that make builds of all images in order of name, in one task, as it is one file: path, images, bytes."""
+    from ..sources.containers import write_whole
+
+    def run(batches):
+        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["name"])
+        if rows:
+            data = make([np.array(r["planes"], np.uint8).T.reshape(r["h"], r["w"], -1) for r in rows])
+            write_whole(path, data)
+            yield pa.RecordBatch.from_pylist([{"path": path, "images": len(rows), "bytes": len(data)}])
+
+    return images.select("name", "w", "h", "planes").repartition(1).mapInArrow(run, "path string, images long, bytes long")
+
+
+def write(spark: SparkSession, spec: JobSpec, inputs: dict[str, DataFrame] | None = None) -> list[str]:
+    """Writes a job's files and gives their paths; rows that can't be written are an error, after the others are."""
+    from ..sources import containers as media
+    from ..sources import files
+
+    rows = plan(spark, spec, inputs)
+    if spec.operation == "info":
+        found = [r.asDict() for r in rows.collect()]
+        if spec.output:
+            media.write_whole(spec.output, "\n".join(json.dumps(r) for r in found).encode())
+        return [spec.output] if spec.output else []
+    if not spec.output:
+        raise ValueError("the output is missing")
+    folder = spec.output if "://" in spec.output else f"file://{spec.output}"
+    kind = (spec.format or (spec.frames.format if spec.frames else None) or "png").lower()
+    made, bad = None, 0
+    if spec.operation == "gif":
+        delay = round(1000 / (spec.fps or 10))
+        made = one_file(rows, spec.output, lambda frames: codecs.write_gif([f[..., :3] if f.shape[2] > 2 else np.repeat(f[..., :1], 3, 2) for f in frames], delay))
+    elif spec.operation == "encode":
+        rate = round((spec.fps or 30) * 1000)
+        made = one_file(rows, spec.output, lambda frames: containers.h264_mp4([even(f) for f in frames], rate, 1000))
+    elif spec.operation in IMAGES:
+        if "error" in rows.columns:
+            bad = rows.where("error is not null").count()
+            rows = rows.where("error is null")
+        encoded = files.encode_images(rows, kind)
+        made = files.write_files(encoded.join(rows.select("image_id", F.concat("name", F.lit(f".{kind}")).alias("name")), "image_id"), folder)
+    elif spec.operation in ("frames", "thumbnail"):
+        bad = rows.where("error is not null").count()
+        stem = F.concat(F.regexp_extract("source", r"([^/]*?)(\.[^./]*)?$", 1), F.lit("_"), F.lpad(F.col("i").cast("string"), 6, "0"), F.lit(f".{kind}"))
+        encoded = files.encode_compact(rows.withColumn("path", stem), kind)
+        made = files.write_files(encoded.withColumnRenamed("path", "name"), folder)
+    elif spec.operation in ("extract_audio", "audio_encode"):
+        kind = (spec.format or "wav").lower()
+        if "error" in rows.columns:
+            bad = rows.where("error is not null").count()
+            rows = rows.where("error is null")
+        made = files.write_files(files.encode_audio(rows.withColumnRenamed("path", "source"), kind), folder)
+    else:
+        if spec.operation == "concat":
+            rows = rows.withColumns({"dts": F.col("pts"), "source": F.lit("joined")})
+        made = media.write_container(retimed(rebased(rows), spec.speed), spec.output)
+    done = [r[0] for r in made.collect()]
+    if bad:
+        raise ValueError(f"{bad} rows could not be written, {len(done)} were")
+    if not done:
+        raise ValueError("nothing was found to write")
+    return [d if "/" in d else f"{spec.output}/{d}" for d in done]
+
+
+def even(image: np.ndarray) -> np.ndarray:
+    """RGB with even sides: the last row or column goes."""
+    image = image[: image.shape[0] // 2 * 2, : image.shape[1] // 2 * 2]
+    return image[..., :3] if image.shape[2] > 2 else np.repeat(image[..., :1], 3, 2)
+
+
 def run(spark: SparkSession, source: str, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Runs a job and gives its result row: operation, success, error, rows."""
-    operation, error, rows = None, None, None
+    """Runs a job and gives its result row: operation, success (all its files are written), error, outputs."""
+    operation, error, outputs = None, None, []
     try:
         spec = JobSpec.parse(source)
         operation = spec.operation
-        rows = plan(spark, spec, inputs).count()
+        outputs = write(spark, spec, inputs)
     except Exception as e:  # noqa: BLE001  a failed job is a result
         error = f"{type(e).__name__}: {e}"[:500]
-    return spark.createDataFrame([(operation, error is None, error, rows)], "operation string, success boolean, error string, rows long")
+    return spark.createDataFrame([(operation, error is None, error, outputs)], "operation string, success boolean, error string, outputs array<string>")

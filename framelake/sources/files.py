@@ -177,6 +177,22 @@ def encode_flac(df: DataFrame, rate: int, channels: int = 1, bits: int = 16) ->
     return df.select("clip_id", "samples").mapInArrow(run, "clip_id long, content binary")
 
 
+def encode_audio(clips: DataFrame, kind: str) -> DataFrame:
+    """name and content of clips (source, sample_rate, channels, samples) as WAV or FLAC files."""
+    makers = {"wav": codecs.write_wav, "flac": containers.write_flac}
+    if kind not in makers:
+        raise ValueError(f"unsupported audio format {kind}")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = makers[kind](np.array(row["samples"] or [], float), row["sample_rate"], row["channels"])
+                name = row["source"].rpartition("/")[2].rpartition(".")[0] or row["source"]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.{kind}"]), pa.array([data], pa.binary())], ["name", "content"])
+
+    return clips.select("source", "sample_rate", "channels", "samples").mapInArrow(run, "name string, content binary")
+
+
 def audio_of(packets: DataFrame) -> DataFrame:
     """The plain PCM audio of containers as one clip for each source: source, hz, channels, samples."""
     rows = packets.where("kind = 'auds'").groupBy("source", "stream_index", "hz", "channels").agg(F.array_sort(F.collect_list(F.struct("dts", "i", "data"))).alias("parts"))

