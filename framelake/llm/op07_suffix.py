@@ -311,9 +311,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read; an empty table gives no rows.
     """
     text = named(docs, id_col, text_col)
-    # a null id is told from 0 by the key
-    text = text.select(F.xxhash64("doc_id", F.isnull("doc_id"), "text").alias("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.col("doc_id").alias("id"))
-    rows = text.select("key", "doc_id", "text").mapInArrow(_anchor_rows, "key long, doc_id long, gram long, start int, size int, known boolean, salt int")
+    # the key's last bit says that there is no id; all uses of text read the same columns, so its shuffle is done once
+    key = F.expr("(xxhash64(doc_id, text) & -2) | cast(isnull(doc_id) as bigint)")
+    text = text.select(key.alias("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    rows = text.mapInArrow(_anchor_rows, "key long, doc_id long, gram long, start int, size int, known boolean, salt int")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("gram", "salt"))).where("known or n > 1")
     found = cut(rows.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "start", "size")).alias("anchors")))
     places = text.join(found.hint("shuffle_hash"), ["key", "doc_id"]).select("key", "doc_id", "text", "anchors")
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     where = places.mapInArrow(_context_rows(False), "gram long, context long, key long, doc_id long, start long")
     hits = where.join(runs, ["gram", "context"]).select("key", "doc_id", F.struct((F.col("start") + F.col("first")).alias("a"), F.col("windows").alias("n")).alias("span"))
     spans = hits.groupBy("key", "doc_id").agg(F.collect_set("span").alias("spans"))
-    out = text.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left").select("key", "id", "text", "spans")
+    out = text.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left").select("key", F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")).alias("id"), "text", "spans")
     return out.mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
