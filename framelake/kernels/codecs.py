@@ -98,13 +98,18 @@ def write_bmp(image: np.ndarray) -> bytes:
 def read_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not a BMP file")
-    first, _, w, h, _, bits, kind = struct.unpack("<IIiiHHI", data[10:34])
-    if bits not in (24, 32) or kind not in (0, 3):
+    first, head, w, h, _, bits, kind = struct.unpack("<IIiiHHI", data[10:34])
+    if (bits, kind) not in ((8, 0), (24, 0), (24, 3), (32, 0), (32, 3)):
         raise ValueError("unsupported BMP")
     n = bits // 8
     row = (w * n + 3) // 4 * 4
     body = np.frombuffer(data, np.uint8, row * abs(h), first).reshape(abs(h), row)[:, : w * n].reshape(abs(h), w, n)
     body = body[::-1] if h > 0 else body
+    if bits == 8:
+        colors = np.frombuffer(data, np.uint8, (first - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
+        if body.size and body.max() >= len(colors):
+            raise ValueError("a BMP colour outside its palette")
+        return colors[body[..., 0]]
     return np.concatenate([body[..., 2::-1], body[..., 3:]], 2)
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jobs import OPERATIONS
 
-READ = ("png", "bmp", "ppm", "wav", "flac", "ivf", "avi", "mp4", "mkv", "srt", "vtt", "ass", "exif", "ogg")
-WRITE = ("png", "bmp", "ppm", "gif", "svg", "wav", "flac", "ivf", "mp4", "ogg", "srt", "vtt", "ass")
+READ = ("png", "jpeg", "bmp", "ppm", "wav", "flac", "ivf", "avi", "mp4", "mkv", "srt", "vtt", "ass", "exif", "ogg")
+WRITE = ("png", "jpeg", "bmp", "ppm", "gif", "svg", "wav", "flac", "ivf", "mp4", "ogg", "srt", "vtt", "ass")
 #: Formats whose pictures or sounds can't be decoded or encoded; their packets can be cut and joined in the containers above.
-WITHOUT_CODEC = ("jpeg", "webp", "av1", "opus", "mp3", "aac", "vorbis")
+WITHOUT_CODEC = ("webp", "av1", "opus", "mp3", "aac", "vorbis")
 
 
 def report(spark: SparkSession) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timecode
-from ..kernels import codecs, containers
+from ..kernels import codecs, containers, jpeg
 
 IMAGE = "path string, w int, h int, channels int, data binary, error string"
 AUDIO = "path string, sample_rate int, channels int, samples array<double>, error string"
-DECODERS = {"png": codecs.read_png, "bmp": codecs.read_bmp, "ppm": codecs.read_ppm, "pgm": codecs.read_ppm}
-ENCODERS = {"png": codecs.write_png, "bmp": codecs.write_bmp, "ppm": codecs.write_ppm, "gif": lambda image: codecs.write_gif([image])}
+DECODERS = {"png": codecs.read_png, "bmp": codecs.read_bmp, "ppm": codecs.read_ppm, "pgm": codecs.read_ppm, "jpg": jpeg.read_jpeg, "jpeg": jpeg.read_jpeg}
+ENCODERS = {"png": codecs.write_png, "bmp": codecs.write_bmp, "ppm": codecs.write_ppm, "gif": lambda image: codecs.write_gif([image]), "jpg": jpeg.write_jpeg, "jpeg": jpeg.write_jpeg}
 
 
 def _binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def _binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    for magic, kind in ((codecs.PNG_MAGIC, "png"), (b"BM", "bmp"), (b"P5", "ppm"), (b"P6", "ppm")):
+    for magic, kind in ((codecs.PNG_MAGIC, "png"), (b"BM", "bmp"), (b"P5", "ppm"), (b"P6", "ppm"), (b"\xff\xd8\xff", "jpeg")):
         if data.startswith(magic):
             return DECODERS[kind](data)
     raise ValueError("unsupported image format")
@@ -34,7 +34,7 @@ IMAGE_FIELDS = [("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()),
 
 
 def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """PNG, BMP and PPM files in compact form; a file that can't be read has its error instead."""
+    """PNG, JPEG, BMP and PPM files in compact form; a file that can't be read has its error instead."""
 
     def run(batches):
         for batch in batches:
@@ -49,6 +49,28 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return _binary(spark, path, glob).select("path", "content").mapInArrow(run, IMAGE)
 
 
+def read_photos(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,JPG,JPEG}") -> DataFrame:
+    """JPEG files in compact form, decoded by Spark's image source in the JVM; many times as fast as read_images.
+
+    Files that the JVM can't decode (CMYK, damaged ones) have an error, and read_images may still read them.
+    """
+    rows = spark.read.format("image").option("pathGlobFilter", glob).option("dropInvalid", False).load(path)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                channels, data = row["channels"], row["data"]
+                if row["w"] < 1:
+                    row |= {"w": None, "h": None, "channels": None, "data": None, "error": "not decoded"}
+                elif channels >= 3:
+                    pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
+                    row["data"] = pixels[:, [2, 1, 0, 3][:channels]].tobytes()
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), *IMAGE_FIELDS]))
+
+    fields = {"origin": "path", "width": "w", "height": "h", "nChannels": "channels", "data": "data"}
+    return rows.select(*(F.col(f"image.{k}").alias(v) for k, v in fields.items()), F.lit(None).cast("string").alias("error")).mapInArrow(run, IMAGE)
+
+
 def images(compact: DataFrame) -> DataFrame:
     """Images as rows of planes from the compact form, with path as image_id's source; numbered by a hash of the path."""
 
