@@ -58,12 +58,13 @@ def hex_color(text: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes in GB, MB or KB of 1024, with two places."""
+    """Bytes, as any whole number type, in GB, MB or KB of 1024, with two places; the binary value is rounded, half to even."""
     out = None
     for k, name in ((3, "GB"), (2, "MB"), (1, "KB")):
-        test, value = n >= 1024**k, F.format_string(f"%.2f {name}", F.bround(n / float(1024**k), 2))
+        # format_string and bround round the shortest decimal form of a double, which is up to half a step off its value.
+        test, value = n >= 1024**k, F.concat(F.call_function("format_number", n.cast("double") / float(1024**k), F.lit("0.00")), F.lit(f" {name}"))
         out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(F.format_string("%d bytes", n))
+    return out.when(n < 1024, F.concat(n.cast("string"), F.lit(" bytes")))
 
 
 def format_duration(ms: Column) -> Column:

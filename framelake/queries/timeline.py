@@ -230,7 +230,10 @@ def hex_color(spark, sf_dir):
 @query("format_size", "SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE printf('%d bytes', n) END AS text FROM (SELECT o_orderkey, o_orderkey * o_orderkey * (o_custkey + 1) // 3 AS n FROM orders)")
 def format_size(spark, sf_dir):
     o = model.table(spark, sf_dir, "orders")
-    n = F.expr("o_orderkey * o_orderkey * (o_custkey + 1) div 3")
+    # k * k * d leaves the range of bigint from keys of some millions on, and div gives a bigint for decimals too:
+    # with k = 3 * m + s, k * k is 3 * (m * (k + s) + s * s div 3) + s * s % 3, so that only small numbers are divided.
+    o = o.selectExpr("o_orderkey", "cast(o_orderkey AS decimal(19,0)) AS k", "o_orderkey div 3 AS m", "o_orderkey % 3 AS s", "o_custkey + 1 AS d")
+    n = F.expr("(m * (k + s) + s * s div 3) * d + s * s % 3 * d div 3")
     return o.select("o_orderkey", t.format_size(n).alias("text"))
 
 

@@ -10,6 +10,7 @@ from framelake.functions import color, timecode
 from framelake.kernels import codecs
 from framelake.operators import detection, geometry, neighbourhood, pixels, subtitles
 from framelake.plans import infer, jobs
+from framelake.queries import QUERIES
 from framelake.sources import files
 
 from .test_kernels import avi, golden
@@ -109,6 +110,23 @@ def test_subtitle_parsers(spark):
     assert [t[0] for t in times] == ["00:00:00,000", "00:00:01,500", "01:01:01,123"] and times[1][1] == "0:00:01.50"
 
 
+def test_format_size_of_large_keys(spark, tmp_path):
+    def size(n):
+        return next((f"{float(n) / 1024**e:.2f} {u}" for e, u in ((3, "GB"), (2, "MB"), (1, "KB")) if n >= 1024**e), f"{n} bytes")
+
+    def text(k, c):
+        return size(abs(k * k * (c + 1)) // 3 * (1 if c >= 0 else -1))  # cut, as // of DuckDB and div of Spark
+
+    # Each remainder by 3 and sign, halves of a hundredth, two whose shortest decimal form ends in a 5 that the value does not, and products below and above the largest bigint.
+    keys = [(k, c) for k in range(-4, 5) for c in range(-5, 5)] + [(24, 5), (72, 1), (1773, 0), (1774, 0), (1412440, 137810), (1850440, 192467), (4499999, 449999), (8999999, 899999), (-8999998, 899998), (200000000, 200000000)]
+    spark.createDataFrame([*keys, (None, 1), (1, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in QUERIES["format_size"](spark, str(tmp_path)).select("o_orderkey", "text").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(k, text(k, c)) for k, c in keys] + [(None, None), (1, None)]))
+    sizes = [0, 1023, 1024, 1152, 1408, 2**20 - 1, 2**20, 2**30 - 1, 2**30, 2**53 + 1, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", timecode.format_size(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {n: size(n) for n in sizes}
+
+
 def test_detection_literals(spark):
     b = lambda *v: F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(v, ("x1", "y1", "x2", "y2"))))
     r = spark.range(1).select(detection.iou(b(0, 0, 10, 10), b(20, 20, 30, 30)), detection.iou(b(0, 0, 10, 10), b(0, 0, 10, 10)), detection.iou(b(0, 0, 10, 10), b(5, 5, 15, 15))).first()
